@@ -19,7 +19,7 @@ OVERLAP = 150
 LEVELS = ["paragraph", "line", "sentence", "word", "none"]
 
 #: Separators from coarse to fine; each also covers the coarser ones.
-_NL = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
+_NL = r"(?>\r\n|[\n\r\x0b\x0c\x85  ])"
 SEPARATORS = {
     "paragraph": re.compile(rf"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*{_NL}[^\S\n\r\x0b\x0c\x85  ]*(?:{_NL}\s*)+"),
     "line": re.compile(rf"\s*{_NL}\s*"),
