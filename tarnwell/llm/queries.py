@@ -129,10 +129,10 @@ select f.session_id from flags f left join verdict v using (session_id) where f.
 with c as (select chunk_id, regexp_replace(content, '^\s+|\s+$', '', 'g') as t from document_chunks where content is not null),
 s as (
   select chunk_id,
-    list_max(list_transform(regexp_split_to_array(t, '[^\S\n]*\n[^\S\n]*\n\s*'), x -> length(trim(x)))) as paragraph,
-    list_max(list_transform(regexp_split_to_array(t, '\n'), x -> length(trim(x, E' \t\r\u00a0')))) as line,
-    list_max(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', E'\\1\n', 'g'), '\n'), x -> length(trim(x, E' \t\r\u00a0')))) as sentence,
-    list_max(list_transform(regexp_split_to_array(t, '\s+'), x -> length(x))) as word
+    list_max(list_transform(regexp_split_to_array(t, '[^\S\n]*\n[^\S\n]*\n\s*'), lambda x: length(trim(x)))) as paragraph,
+    list_max(list_transform(regexp_split_to_array(t, '\n'), lambda x: length(trim(x, E' \t\r\u00a0')))) as line,
+    list_max(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', E'\\1\n', 'g'), '\n'), lambda x: length(trim(x, E' \t\r\u00a0')))) as sentence,
+    list_max(list_transform(regexp_split_to_array(t, '\s+'), lambda x: length(x))) as word
   from c where length(t) > 1800
 )
 select chunk_id, case when paragraph <= 1800 then 'paragraph' when line <= 1800 then 'line' when sentence <= 1800 then 'sentence' when word <= 1800 then 'word' else 'none' end as boundary from s
@@ -140,7 +140,7 @@ select chunk_id, case when paragraph <= 1800 then 'paragraph' when line <= 1800
     "p3_found": r"""
 with v as (
   select id, embedding::double[] as e from document_chunks
-  where len(embedding) = 64 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 r as (
   select a.id as a, b.id as b, row_number() over (partition by a.id order by round(list_cosine_similarity(a.e, b.e), 12) desc, b.id) as n
