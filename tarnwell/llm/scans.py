@@ -36,8 +36,7 @@ _BARE = re.compile(r"^\s*\d{1,4}\s*$")
 _CHAPTER = re.compile(r"^(?:\d{1,4}\s*[|·–—-]?\s*)?(?:chapter|chap\.|part|kapitel|chapitre|capítulo)\s+(?:\d{1,3}|[ivxlc]+)\b(?!.*[.;:?!]$)", re.I)
 _EDITION = re.compile(r"\b\d{1,2}(?:st|nd|rd|th)\s+(?:revised\s+)?edition\b|\b(?:first|second|third|fourth|fifth)\s+edition\b", re.I)
 _TOKEN = re.compile(r"[^\W_](?:[\w!@$|]*[\w@$|])?|[!@][^\W_][\w!@$|]*|[!@]", re.UNICODE)
-_COMPOUND = re.compile(r"[^\W_]+(?:[-‑][^\W_]+)+")
-_WORD_END = re.compile(rf"([\w!@$|]+(?:[-‑][\w!@$|]+)*)\s?([{CUT_MARKS}])\s*$")
+_COMPOUND = re.compile(r"(?<![^\W_])[^\W_]++(?:[-‑][^\W_]++)++")
 _WORD_START = re.compile(r"\s*([^\W_A-Z][\w!@$|]*)")
 
 SCAN = (
@@ -56,6 +55,22 @@ def head_key(line: str) -> str:
     return t.translate(str.maketrans("cflb", "etih"))
 
 
+def _cut_word(line: str) -> tuple[int, int, str] | None:
+    """(start, end, mark) of the word that a mark at the line's end cuts."""
+    bare = line.rstrip()
+    if not bare or bare[-1] not in CUT_MARKS:
+        return None
+    end = len(bare) - 1
+    if end and bare[end - 1].isspace():
+        return None
+    start = end
+    while start and (bare[start - 1].isalnum() or bare[start - 1] in "_!@$|-‑"):
+        start -= 1
+    while start < end and bare[start] in "-‑":
+        start += 1
+    return (start, end, bare[-1]) if start < end else None
+
+
 def _is_prose(line: str) -> bool:
     return len(line.split()) >= 4
 
@@ -79,11 +94,15 @@ def _shape(lines: list[str]) -> tuple[list[str], list[int]]:
         s = line.strip()
         if not s:
             kinds.append("blank")
+        elif len(s) > 120:
+            kinds.append("text")
+        elif s[-1] in ".,;:?!" and not s[0].isdigit() and len(s) > 24:
+            kinds.append("text")
         elif _BARE.match(s):
             kinds.append("bare")
-        elif _PAGE.match(s):
+        elif len(s) <= 40 and _PAGE.match(s):
             kinds.append("page")
-        elif len(s) <= 120 and (_CHAPTER.match(s) or _EDITION.search(s) and _title_like(s) or _title_like(s)):
+        elif (_CHAPTER.match(s) or _EDITION.search(s) and _title_like(s) or _title_like(s)):
             kinds.append("head")
         else:
             kinds.append("text")
@@ -126,14 +145,14 @@ def examine(text: str) -> dict:
     cuts, spoiled = [], {}
     content = [i for i, k in enumerate(kinds) if k != "blank" and i not in furniture]
     for x, i in enumerate(content[:-1]):
-        m = _WORD_END.search(lines[i])
-        if not m or not m[1][-1].isalpha():
+        m = _cut_word(lines[i])
+        if not m or not lines[i][m[1] - 1].isalpha():
             continue
         n = _WORD_START.match(lines[content[x + 1]])
-        if n and (lines[i][m.end(1) : m.end(1) + 1] in CUT_MARKS):
-            first, rest = m[1], n[1]
+        if n:
+            first, rest = lines[i][m[0] : m[1]], n[1]
             cuts.append(((first + rest).lower(), f"{first}-{rest}".lower(), first.lower().split("-")[-1], rest.lower(), m[2] == "-"))
-            spoiled[i] = (m.start(1), spoiled.get(i, (None, None))[1])
+            spoiled[i] = (m[0], spoiled.get(i, (None, None))[1])
             spoiled[content[x + 1]] = (spoiled.get(content[x + 1], (None, None))[0], n.end(1))
     words = []
     for i, line in enumerate(lines):
@@ -144,7 +163,8 @@ def examine(text: str) -> dict:
             line = line[end or 0 : len(line) if start is None else max(start, end or 0)]
         low = line.lower()
         words += [w for w in _TOKEN.findall(low) if len(w) > 1 or w in "!@"]
-        words += _COMPOUND.findall(low)
+        if "-" in low or "‑" in low:
+            words += _COMPOUND.findall(low)
     return {"page": page, "heads": heads, "cuts": cuts, "words": words}
 
 
@@ -258,12 +278,12 @@ def repair(text: str, heads: set[str], joins: set[str], fixes: dict[str, str]) -
             out.append("")
             continue
         if out and out[-1] and "|" not in line and "|" not in out[-1]:
-            m, n = _WORD_END.search(out[-1]), _WORD_START.match(line)
-            if m and n and (m[1] + n[1]).lower() in joins:
-                out[-1] = out[-1][: m.end(1)] + line.lstrip()
+            m, n = _cut_word(out[-1]), _WORD_START.match(line)
+            if m and n and (out[-1][m[0] : m[1]] + n[1]).lower() in joins:
+                out[-1] = out[-1][: m[1]] + line.lstrip()
                 continue
             if m and n and m[2] == "-":
-                out[-1] += line.lstrip()
+                out[-1] = out[-1].rstrip() + line.lstrip()
                 continue
             if _is_prose(out[-1]) and (not _ends(out[-1]) or _is_prose(line)):
                 out[-1] += " " + line.lstrip()
