@@ -53,7 +53,7 @@ SHORT = 7  # words up to which an answer of one clause may be a bare phrase
 END_SHARE = 0.03  # a text is truncated if its last words end a sentence less often than this
 LEAST_SEEN = 8  # occurrences of a context that make its share count
 ORDER = 4  # words of the longest context
-MODEL_DOCS = 20_000  # labelled documents the language model is fitted on, at most
+MODEL_DOCS = 6_000  # labelled documents the language model is fitted on, at most
 MODEL_GRAMS = 30_000
 MARGIN_ANSWER, MARGIN_QUESTION = 6.0, 3.0  # log odds that the two languages must differ by
 
@@ -113,7 +113,7 @@ def language_model(documents: DataFrame, text_col: str = "text", lang_col: str =
 
     lang = F.lower(F.regexp_extract(F.col(lang_col), r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
     rows = documents.select(F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null and lang <> ''").orderBy(F.xxhash64("text")).limit(sample)
-    counted = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.repartition(12, "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     keep = counted.groupBy("gram").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "gram").limit(MODEL_GRAMS).select("gram")
     model: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.join(keep, "gram").toLocalIterator():
