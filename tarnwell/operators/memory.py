@@ -53,7 +53,7 @@ def core_state(merged: DataFrame) -> DataFrame:
 def summary_fields(text: Column) -> Column:
     """struct<goal, findings, questions> of a summary with one labelled line each."""
     line = lambda label: F.trim(F.regexp_extract(text, rf"(?m)^\s*{label}:(.*)$", 1))
-    items = lambda c: F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    items = lambda c: F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(line("Session goal").alias("goal"), items(line("Key findings")).alias("findings"), items(line("Open questions")).alias("questions"))
 
 
