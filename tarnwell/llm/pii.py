@@ -22,10 +22,9 @@ TYPES = ["email", "phone", "id_number", "address", "name"]
 
 _AT = r"\s*(?:@|＠|\(at\)|\[at\]|\{at\}|<at>)\s*"
 _DOT = r"(?:\.|\s*(?:\(dot\)|\[dot\]|\{dot\})\s*)"
-EMAIL = re.compile(
-    rf"[\w.%+\-]*\w(?:{_AT})\w[\w\-]*(?:{_DOT}\w[\w\-]*)*{_DOT}[A-Za-z]{{2,}}|[\w.%+\-]*\w\s+at\s+\w[\w\-]*(?:\s+dot\s+\w[\w\-]*)+",
-    re.I,
-)
+#: The part before the sign has at most 64 characters and begins at a boundary, so long runs cost nothing.
+_USER = r"(?<![\w.%+\-])[\w.%+\-]{1,64}"
+EMAIL = re.compile(rf"{_USER}(?:{_AT})\w[\w\-]{{0,62}}(?:{_DOT}\w[\w\-]{{0,62}}){{0,8}}{_DOT}[A-Za-z]{{2,24}}|{_USER}\s+at\s+\w[\w\-]{{0,62}}(?:\s+dot\s+\w[\w\-]{{0,62}}){{1,8}}", re.I)
 
 # What announces a number of identity, the nouns of kinship, titles, and kinds of street.
 _ID_WORDS = (
