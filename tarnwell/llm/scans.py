@@ -138,7 +138,7 @@ def examine(text: str) -> dict:
                 furniture.add(i)
         elif kinds[i] == "head":
             s = line.strip()
-            inside = b is not None and a is not None and _is_prose(lines[b]) and not _ends(lines[b]) and lines[a].lstrip()[:1].islower()
+            inside = b is not None and a is not None and near_prose and not _ends(lines[b]) and lines[a].lstrip()[:1].islower()
             sure = bool(prose) and bool(_CHAPTER.match(s) or _EDITION.search(s) or (inside and len(s.split()) >= 3))
             heads.append((head_key(s), inside, sure))
             furniture.add(i)
