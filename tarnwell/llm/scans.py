@@ -29,6 +29,7 @@ SMALL_WORDS = "of to and in on the for a an with at by from de la le des du der
 
 SYMBOL_RATIO, USUAL_RATIO, RARE_RATIO = 2, 15, 60
 LEAST_REPEATS = 3
+BROADCAST_WORDS = 200_000  # misread words of up to 40 letters that are broadcast at most, some 20 MB
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _PAGE = re.compile(r"^[\s\-–—\[\](){}|*~·•.:=<>_]*(?:(?:page|pages|pag|pg|p|seite|s|página|стр|σελ)\b\.?\s*)?(\d{1,4})(?:\s*(?:of|/|von|de|sur|из)\s*\d{1,4})?[\s\-–—\[\](){}|*~·•.:=<>_]*$", re.I)
@@ -229,7 +230,9 @@ def evidence(texts: DataFrame) -> dict[str, DataFrame]:
         .groupBy("word").agg(F.max_by("printed", F.struct("m", "printed")).alias("printed"))
     )
     lone = words.where(F.col("word").rlike(_LONE_SYMBOL)).select("word").join(fixes, "word", "left_anti").select("word", F.lit(None).cast("string").alias("printed"))
-    fixes = fixes.unionByName(lone)
+    fixes = cut(fixes.unionByName(lone))
+    if fixes.count() <= BROADCAST_WORDS:  # else the words are joined by shuffle, where AQE splits the frequent ones
+        fixes = F.broadcast(fixes)
     used = seen.select(*key, F.explode(F.array_distinct(F.concat("words", F.transform("cuts", lambda c: c["joined"])))).alias("word"))
     misread = used.join(fixes, "word")
 
