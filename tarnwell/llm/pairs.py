@@ -76,7 +76,8 @@ def is_refusal(answer: str) -> bool:
 
 def is_copy(question: str | None, answer: str) -> bool:
     """The words of the answer, without labels, are those of the question and most of them."""
-    words = lambda s: re.findall(r"[^\W_]+", one_form(s, fold_case=True) or "")
+    # the micro sign in capitals looks like an M
+    words = lambda s: re.findall(r"[^\W_]+", (one_form(s, fold_case=True) or "").replace("μ", "m"))
     q, a = words(question or ""), words(answer)
     if len(q) < 3 or not a:
         return False
@@ -149,11 +150,12 @@ def _tokens(text: str) -> list[str]:
     return ["#" if w[0].isdigit() else w for w in _TOKEN.findall(t)]
 
 
-def contexts(text: str) -> tuple[list[tuple[str, int]], list[str], bool]:
-    """((context, ends) of every place before the last), contexts of the last words, whether the end is open.
+def contexts(text: str) -> tuple[list[tuple[str, int]], list[str], list[str]]:
+    """((context, ends) of every place before the last), contexts of an open end, and of the place before it.
 
     A context is the last one to ORDER tokens of a sentence so far, with its start as a token. The end is open
-    if no mark of a sentence end closes the text. Places where a text simply stops are no evidence of an end.
+    if no mark of a sentence end closes the text, else both are empty. Places where a text simply stops are no
+    evidence of an end.
     """
     seen: list[tuple[str, int]] = []
     sentence = ["<s>"]
@@ -166,8 +168,7 @@ def contexts(text: str) -> tuple[list[tuple[str, int]], list[str], bool]:
         if i + 1 < len(tokens):
             end = tokens[i + 1] in ".!?"
             seen += [(c, int(end)) for c in _context(sentence)]
-    is_open = len(sentence) > 1
-    return seen, _context(sentence) if is_open else [], is_open
+    return seen, _context(sentence) if len(sentence) > 1 else [], _context(sentence[:-1]) if len(sentence) > 2 else []
 
 
 def _context(sentence: list[str]) -> list[str]:
@@ -204,12 +205,10 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 elif other_language(model.value, q, a):
                     defect = "language"
                 if defect in (None, "language"):
-                    seen, last, is_open = contexts(a)
+                    seen, last, before = contexts(a)
                     tokens = _tokens(a)
-                    hard = a.rstrip().endswith(("...", "…", ",", ";", ":")) or (is_open and tokens[-1] in OPEN_WORDS)
+                    hard = a.rstrip().endswith(("...", "…", ",", ";", ":")) or (bool(last) and tokens[-1] in OPEN_WORDS)
                     brief = len(tokens) <= SHORT and not any(t in ".!?" for t in tokens)
-                    # should the last word itself be cut, the words before it tell
-                    before = contexts(" ".join(tokens[:-1]))[1] if len(tokens) > 1 else []
                 rows.append((src, rid, defect, (one_form(a, fold_case=True) or "").strip(" .") if defect is None else None, seen, last if defect is None else [], before if defect is None else [], hard, brief))
             yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "answer", "seen", "last", "before", "hard", "brief"])
 
@@ -223,9 +222,13 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     ends = scored.groupBy(*key).agg(share(1).alias("share"), share(0).alias("share_before"), F.max(F.when((F.col("kind") == 1) & (F.col("order") == 0), F.col("n"))).alias("last_seen"))
     # an answer that several pairs give word for word is a stock answer, not one that breaks off
     stock = base.where("answer is not null and answer <> ''").groupBy("answer").agg(F.count("*").alias("times")).where("times >= 3").select("answer", F.lit(True).alias("stock"))
+    # a last word that occurs nowhere else and begins a known one is itself cut
+    odd = scored.where((F.col("kind") == 1) & (F.col("order") == 0) & (F.col("n") <= 1) & (F.length("context") >= 3)).select(*key, "context", F.substring("context", 1, 3).alias("head"))
+    known = counts.where((F.col("n") >= 3) & ~F.col("context").contains(" ") & (F.length("context") >= 5)).select(F.col("context").alias("word"), F.substring("context", 1, 3).alias("head"))
+    cut_word = odd.join(known, "head").where(F.startswith("word", "context") & (F.length("word") >= F.length("context") + 2)).select(*key, F.lit(True).alias("cut_word")).distinct()
     broken = (
-        open_end.join(ends, key, "left").join(stock, "answer", "left")
-        .where(F.col("hard") | (F.col("stock").isNull() & ~F.col("brief") & ((F.col("share") < END_SHARE) | ((F.coalesce("last_seen", F.lit(0)) <= 1) & (F.coalesce("share_before", F.lit(0.0)) < END_SHARE)))))
+        open_end.join(ends, key, "left").join(cut_word, key, "left").join(stock, "answer", "left")
+        .where(F.col("hard") | (F.col("stock").isNull() & (F.col("cut_word").isNotNull() | (~F.col("brief") & ((F.col("share") < END_SHARE) | ((F.coalesce("last_seen", F.lit(0)) <= 1) & (F.coalesce("share_before", F.lit(0.0)) < END_SHARE)))))))
         .select(*key, F.lit("truncated").alias("defect"))
     )
     hard = base.where("defect is null and hard").select(*key, F.lit("truncated").alias("defect"))
