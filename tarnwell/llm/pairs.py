@@ -3,6 +3,7 @@
 Each defective pair gets one defect: empty, refusal, copy, language or truncated, in this order. Language
 compares the posteriors of prompt and response under a character n-gram naive Bayes model; truncation is a low
 likelihood that the text ends after its last words, under word n-gram counts of sentence ends in all responses.
+How often an answer recurs is no evidence that it is complete.
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ OPEN_WORDS = frozenset(
     "der die das den dem des ein eine einen einem einer und oder aber dass wenn weil mit von für ohne über unter zwischen nach vor bei ist sind wird werden hat haben sehr и или что с в на по для из от к у о ο η το και με σε για από".split()
 )
 SHORT = 7  # words up to which an answer of one clause may be a bare phrase
+HEAD = 3  # words that tell how a sentence begins
+OPENING = 0.9  # words open a sentence if this share of their places are beginnings of sentences longer than SHORT
+FRAGMENT = 3  # a cut word is rarer than the word it begins by this factor
 
 END_SHARE = 0.03  # a text is truncated if its last words end a sentence less often than this
 LEAST_SEEN = 8  # occurrences of a context that make its share count
@@ -168,6 +172,7 @@ def contexts(text: str) -> tuple[list[tuple[str, int]], list[str], list[str]]:
         if i + 1 < len(tokens):
             end = tokens[i + 1] in ".!?"
             seen += [(c, int(end)) for c in _context(sentence)]
+    seen += [(h, 0) for s in _sentences(tokens) if len(s) > SHORT for h in _heads(s)]
     return seen, _context(sentence) if len(sentence) > 1 else [], _context(sentence[:-1]) if len(sentence) > 2 else []
 
 
@@ -178,7 +183,22 @@ def _context(sentence: list[str]) -> list[str]:
     return [sentence[-1], *wild, *exact]
 
 
-BASE = "src string, rec_id string, defect string, answer string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, hard boolean, brief boolean"
+def _sentences(tokens: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for w in tokens:
+        if w in ".!?":
+            out.append([])
+        else:
+            out[-1].append(w)
+    return out
+
+
+def _heads(sentence: list[str]) -> list[str]:
+    """The first 2 to HEAD words of a sentence, marked as its beginning."""
+    return ["^ " + " ".join(sentence[:n]) for n in range(2, min(HEAD, len(sentence)) + 1)]
+
+
+BASE = "src string, rec_id string, defect string, pair long, head string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, hard boolean, brief boolean"
 
 
 def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -193,9 +213,9 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for src, rid, q, a, blocked in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], strict=True):
+            for src, rid, q, a, blocked, pair in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], pdf["pair"].tolist(), strict=True):
                 q, a = (x if isinstance(x, str) else None for x in (q, a))
-                defect, seen, last, before, hard, brief = None, [], [], [], False, False
+                defect, head, seen, last, before, hard, brief = None, None, [], [], [], False, False
                 if is_empty(a):
                     defect = "sound" if blocked else "empty"
                 elif is_refusal(a):
@@ -209,26 +229,32 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                     tokens = _tokens(a)
                     hard = a.rstrip().endswith(("...", "…", ",", ";", ":")) or (bool(last) and tokens[-1] in OPEN_WORDS)
                     brief = len(tokens) <= SHORT and not any(t in ".!?" for t in tokens)
-                rows.append((src, rid, defect, (one_form(a, fold_case=True) or "").strip(" .") if defect is None else None, seen, last if defect is None else [], before if defect is None else [], hard, brief))
-            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "answer", "seen", "last", "before", "hard", "brief"])
+                    head = (_heads(tokens) or [None])[-1] if brief else None
+                rows.append((src, rid, defect, pair, head, seen, last if defect is None else [], before if defect is None else [], hard, brief))
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "pair", "head", "seen", "last", "before", "hard", "brief"])
 
-    base = cut(pairs.select("src", "rec_id", "question", "answer", "blocked").mapInPandas(run, BASE))
+    pair = F.xxhash64(F.lower(F.trim("question")), F.lower(F.trim("answer"))).alias("pair")
+    base = cut(pairs.select("src", "rec_id", "question", "answer", "blocked", pair).mapInPandas(run, BASE))
     counts = base.select(F.explode("seen").alias("x")).groupBy("x.context").agg(F.count("*").alias("n"), F.sum("x.ends").alias("e"))
     key = ["src", "rec_id"]
-    open_end = base.where(F.col("defect").isNull() & (F.size("last") > 0)).select(*key, "answer", "last", "before", "hard", "brief")
-    places = open_end.select(*key, F.lit(1).alias("kind"), F.posexplode("last").alias("order", "context")).unionByName(open_end.select(*key, F.lit(0).alias("kind"), F.posexplode("before").alias("order", "context")))
+    open_end = base.where(F.col("defect").isNull() & (F.size("last") > 0)).select(*key, "pair", "head", "last", "before", "hard", "brief")
+    places = open_end.select(*key, "pair", F.lit(1).alias("kind"), F.posexplode("last").alias("order", "context")).unionByName(open_end.select(*key, "pair", F.lit(0).alias("kind"), F.posexplode("before").alias("order", "context")))
     scored = places.join(counts, "context", "left").fillna(0, ["n", "e"])
     share = lambda kind: F.max_by(F.when((F.col("kind") == kind) & (F.col("n") >= LEAST_SEEN), F.col("e") / F.col("n")), F.when((F.col("kind") == kind) & (F.col("n") >= LEAST_SEEN), F.col("order")))
     ends = scored.groupBy(*key).agg(share(1).alias("share"), share(0).alias("share_before"), F.max(F.when((F.col("kind") == 1) & (F.col("order") == 0), F.col("n"))).alias("last_seen"))
-    # an answer that several pairs give word for word is a stock answer, not one that breaks off
-    stock = base.where("answer is not null and answer <> ''").groupBy("answer").agg(F.count("*").alias("times")).where("times >= 3").select("answer", F.lit(True).alias("stock"))
-    # a last word that occurs nowhere else and begins a known one is itself cut
-    odd = scored.where((F.col("kind") == 1) & (F.col("order") == 0) & (F.col("n") <= 1) & (F.length("context") >= 3)).select(*key, "context", F.substring("context", 1, 3).alias("head"))
-    known = counts.where((F.col("n") >= 3) & ~F.col("context").contains(" ") & (F.length("context") >= 5)).select(F.col("context").alias("word"), F.substring("context", 1, 3).alias("head"))
-    cut_word = odd.join(known, "head").where(F.startswith("word", "context") & (F.length("word") >= F.length("context") + 2)).select(*key, F.lit(True).alias("cut_word")).distinct()
+    # a last word that occurs nowhere else and begins a known one is itself cut, unless different pairs end in it too often for that
+    odd = scored.where((F.col("kind") == 1) & (F.col("order") == 0) & (F.col("n") <= 1) & (F.length("context") >= 3)).select(*key, "pair", "context")
+    ending = odd.groupBy("context").agg(F.countDistinct("pair").alias("pairs")).withColumn("head3", F.substring("context", 1, 3))
+    known = counts.where((F.col("n") >= 3) & ~F.col("context").contains(" ") & (F.length("context") >= 5)).select(F.col("context").alias("word"), F.col("n").alias("known"), F.substring("context", 1, 3).alias("head3"))
+    begun = ending.join(known, "head3").where(F.startswith("word", "context") & (F.length("word") >= F.length("context") + 2) & (F.col("known") >= FRAGMENT * F.col("pairs"))).select("context").distinct()
+    cut_word = odd.join(begun, "context", "left_semi").select(*key, F.lit(True).alias("cut_word"))
+    # a brief answer is a bare phrase, unless its first words are found where longer sentences begin and hardly elsewhere
+    heads = open_end.where("head is not null").select("head").distinct()
+    starts = heads.join(counts.select(F.col("context").alias("head"), F.col("n").alias("starts")), "head").withColumn("phrase", F.expr("substring(head, 3)"))
+    opening = starts.join(counts.select(F.col("context").alias("phrase"), F.col("n").alias("anywhere")), "phrase").where((F.col("starts") >= LEAST_SEEN) & (F.col("starts") >= OPENING * F.col("anywhere"))).select("head", F.lit(True).alias("opening"))
     broken = (
-        open_end.join(ends, key, "left").join(cut_word, key, "left").join(stock, "answer", "left")
-        .where(F.col("hard") | (F.col("stock").isNull() & (F.col("cut_word").isNotNull() | (~F.col("brief") & ((F.col("share") < END_SHARE) | ((F.coalesce("last_seen", F.lit(0)) <= 1) & (F.coalesce("share_before", F.lit(0.0)) < END_SHARE)))))))
+        open_end.join(ends, key, "left").join(cut_word, key, "left").join(opening, "head", "left")
+        .where(F.col("hard") | F.col("cut_word").isNotNull() | ((~F.col("brief") | F.col("opening").isNotNull()) & ((F.col("share") < END_SHARE) | ((F.coalesce("last_seen", F.lit(0)) <= 1) & (F.coalesce("share_before", F.lit(0.0)) < END_SHARE)))))
         .select(*key, F.lit("truncated").alias("defect"))
     )
     hard = base.where("defect is null and hard").select(*key, F.lit("truncated").alias("defect"))

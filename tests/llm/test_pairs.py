@@ -49,3 +49,15 @@ def test_language_is_right_on_held_out_documents(spark):
     rows = d.where("doc_id % 2 = 1").collect()
     right = sum(max((o := pairs.log_odds(model, r.text)), key=o.get) == r.lang for r in rows)
     assert right / len(rows) > 0.9  # a part of the labels is wrong on purpose
+
+
+def test_recurring_and_brief_truncated_answers(spark):
+    docs = spark.createDataFrame([(EN * 8, "en"), (ES * 8, "es")], "text string, lang string")
+    good = [("t", f"g{i}", f"How often is the pressure checked, {i}?", f"{EN}Nevertheless number {i} waits.", False, "x") for i in range(12)]
+    cases = [("t", f"copy{i}", ASK, EN.strip()[:-7], False, "x") for i in range(9)]  # ... and drink
+    cases += [("t", f"word{i}", ASK, EN.strip()[:-12] + "dri", False, "x") for i in range(3)]
+    cases += [("t", "brief", ASK, "Patients should rest", False, "x"), ("t", "whole", ASK, "Patients", False, "x")]
+    cases += [("t", f"never{i}", f"{ASK} {i}", "Never", False, "x") for i in range(20)]
+    good += [("t", f"d{i}", f"Which {i}?", f"Please drink {i} cups.", False, "x") for i in range(9)]
+    got = {r.rec_id: r.defect for r in pairs.defects(spark.createDataFrame(good + cases, PAIR), docs).collect()}
+    assert got == dict.fromkeys([*(f"copy{i}" for i in range(9)), *(f"word{i}" for i in range(3)), "brief"], "truncated")
