@@ -42,6 +42,25 @@ REFUSAL = re.compile(
     )
 )
 
+#: Whole sentences that only greet, thank, regret or refer to someone else.
+COURTESY = re.compile(
+    "|".join(
+        [
+            r"(?:hello|hi|hey|dear|good (?:morning|afternoon|evening|day))(?: [^\W\d_]+){0,3}",
+            r"(?:many )?(?:thanks|thank you)(?: (?:so|very) much)?(?:,? (?:for|in advance)\b[^.!?:;]{0,80})?(?:,? but)?",
+            r"(?:(?:i am|i'm|we are|we're) )?(?:so |very |really |terribly )?sorry(?:,? (?:to hear|about|for|that you)\b[^.!?:;]{0,80})?",
+            r"(?:my |our |please accept (?:my|our) )?(?:sincere )?apologies(?: for\b[^.!?:;]{0,60})?|i apologi[sz]e(?: for\b[^.!?:;]{0,60})?|unfortunately|regrettably|i regret (?:this|that)",
+            r"(?:(?:that|this)(?: is|'s) )?(?:an? )?(?:very |really )?(?:good|great|interesting|important|excellent|fair) question",
+            r"(?:i|we) (?:fully |completely |do )?(?:understand|appreciate|hear)(?: (?:that|how|why|your?|this|the)\b[^.!?:;]{0,80})?",
+            r"(?:i|we) (?:hope|wish)\b[^.!?:;]{0,60}|(?:please )?take care(?: of yourself)?|get well soon|all the best|(?:kind|best) regards|i hope you understand|thank you for (?:your )?understanding",
+            r"(?:so |instead,? |therefore,? )?(?:please|kindly|you (?:should|may|can|could|might)|i (?:suggest|recommend|advise)(?: that)?(?: you)?)(?: instead| rather)? (?:to )?(?:see(?:k|ing)?|consult(?:ing)?|ask(?:ing)?|contact(?:ing)?|speak(?:ing)?|talk(?:ing)?|turn(?:ing)?|call(?:ing)?|visit(?:ing)?|check(?:ing)?)\b[^.!?:;]{0,30}\b(?:doctor|physician|gp|professional|pharmacist|nurse|specialist|provider|clinic|expert|team|emergency (?:services|number)|medical advice|someone (?:else|qualified))\b[^.!?:;]{0,40}",
+            r"(?:a|an|your|the) (?:[^\W\d_]+ )?(?:doctor|physician|gp|professional|pharmacist|nurse|specialist|provider|expert) (?:can|could|will|may|might|would) (?:be able to )?(?:help|advise|assist|answer)\b[^.!?:;]{0,40}",
+            r"(?:is there anything else|can i help you with|let me know if|feel free to ask)\b[^.!?:;]{0,60}",
+            r"(?:muchas )?gracias(?: por\b[^.!?:;]{0,60})?|lo siento(?: mucho)?|(?:por favor,? )?consulte\b[^.!?:;]{0,60}|hola|buenos días|merci(?: beaucoup)?(?: (?:pour|de)\b[^.!?:;]{0,60})?|(?:je suis )?désolée?|bonjour|veuillez consulter\b[^.!?:;]{0,60}|(?:vielen )?dank(?:e)?(?: für\b[^.!?:;]{0,60})?|(?:es )?tut mir leid|guten tag|hallo|bitte (?:fragen|wenden)\b[^.!?:;]{0,60}",
+        ]
+    )
+)
+
 #: Words that never end a sentence.
 OPEN_WORDS = frozenset(
     "a an the and or but nor of to for with from at by into onto than that which who whose whom because so if when while although unless until since as such is are was were be been being has have had may might must can could shall should will would "
@@ -73,9 +92,19 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """The first sentence declines to answer."""
-    t = (one_form(answer, fold_case=True) or "").replace("’", "'")
-    return bool(REFUSAL.search(_SENTENCE.split(t)[0]))
+    """The first sentence declines to answer, or a later one does and all others are courtesy or referral."""
+    t = (one_form(answer, fold_case=True) or "").replace("’", "'").strip()
+    sentences = _SENTENCE.split(t)
+    if REFUSAL.search(sentences[0]):
+        return True
+    declines = False
+    for s in sentences:
+        if COURTESY.fullmatch(s.strip(" .,!?…-")):
+            continue
+        if not REFUSAL.search(s):
+            return False
+        declines = True
+    return declines
 
 
 def is_copy(question: str | None, answer: str) -> bool:

@@ -61,3 +61,10 @@ def test_recurring_and_brief_truncated_answers(spark):
     good += [("t", f"d{i}", f"Which {i}?", f"Please drink {i} cups.", False, "x") for i in range(9)]
     got = {r.rec_id: r.defect for r in pairs.defects(spark.createDataFrame(good + cases, PAIR), docs).collect()}
     assert got == dict.fromkeys([*(f"copy{i}" for i in range(9)), *(f"word{i}" for i in range(3)), "brief"], "truncated")
+
+
+def test_refusals_after_courtesies():
+    for t in ["Thank you for asking. I cannot answer this question.", "Sorry. I can't help with that.", "Hello! That is a good question. As an assistant I am not able to give medical advice. Please ask your doctor.", "I'm sorry to hear about the nausea. I must decline to respond; please see a professional.\nTake care!", "Lo siento. No puedo ayudar con eso."]:
+        assert pairs.is_refusal(t)
+    for t in ["Thank you for asking. It passes within a week.", "Sorry to hear about the nausea: it passes. I cannot help with other things.", "Take 300 mg daily. I cannot answer this question for children.", "Thank you. Please ask your doctor.", "Sorry. Gout passes. I can't help with that."]:
+        assert not pairs.is_refusal(t)
