@@ -12,7 +12,9 @@ Equal sequences are one class from the start, so that copies are compared once.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,7 +59,9 @@ AGE_BEFORE = "aged am are of at turned a being is"
 COMMON = 5  # a word this frequent is never taken for a slip on frequency alone
 RATIO = 10  # a slip is corrected to a word at least this many times as frequent
 LEAST_WORDS = 3  # words of the shortest span of the suffix array
-LEAST_SPAN = 0.4  # of the shorter sequence's words
+LEAST_SPAN = 0.4  # of the shorter sequence's words, by all shared spans together
+FEW, MANY, MOST = 3, 16, 32  # words without slips: keys of one word up to FEW and above MANY, keys of two words up to MOST
+SPAN_ROWS = 100_000  # spans that leave a task at once
 WINDOW = 16  # words of a suffix that are compared; longer spans are merged from overlapping windows
 
 
@@ -206,47 +210,84 @@ def same_question(a: list[str], b: list[str], slips_a: dict[str, str], slips_b:
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A partition of the suffix array, in order → (train class, evaluation class, places and length of a span).
 
-    Suffixes with the same first words stand together; within such a run every stretch of neighbours whose common
-    prefixes are long enough for both records is a shared span.
+    Suffixes with the same first words stand together, so any two of such a run share a span; its length is the
+    least common prefix of neighbours between them. How much of a pair the spans cover is asked of all together.
     """
 
+    def common(u, v):
+        k = 0
+        for x, y in zip(u, v, strict=False):
+            if x != y:
+                break
+            k += 1
+        return k
+
     def spans(run):
-        out = []
-        for x in range(len(run)):
-            _, cx, px, sx, nx, tx, ex = run[x]
+        if not any(r[5] for r in run) or not any(r[6] for r in run):
+            return
+        steps = [common(u[3], v[3]) for u, v in zip(run, run[1:], strict=False)]
+        for x, (_, cx, px, _, _, tx, ex) in enumerate(run):
             lcp = WINDOW
-            for y in range(x + 1, len(run)):
-                k = 0
-                for u, v in zip(run[y - 1][3], run[y][3], strict=False):
-                    if u != v:
-                        break
-                    k += 1
+            for (_, cy, py, _, _, ty, ey), k in zip(run[x + 1 :], steps[x:], strict=True):
                 lcp = min(lcp, k)
-                if lcp < LEAST_WORDS or lcp < LEAST_SPAN * nx and lcp < WINDOW:
-                    break
-                _, cy, py, _, ny, ty, ey = run[y]
-                if cx == cy or lcp < LEAST_SPAN * min(nx, ny) and lcp < WINDOW:
+                if cx == cy:
                     continue
                 if tx and ey:
-                    out.append((cx, cy, px, py, lcp))
+                    yield cx, cy, px, py, lcp
                 if ty and ex:
-                    out.append((cy, cx, py, px, lcp))
-        return out
-
-    head, run, out = None, [], []
-    for pdf in batches:
-        for row in zip(pdf["head"], pdf["cls"].tolist(), pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["size"].tolist(), pdf["train"].tolist(), pdf["held"].tolist(), strict=True):
-            if row[0] != head:
-                out += spans(run)
-                head, run = row[0], []
-            run.append(row)
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b", "pa", "pb", "n"])
-            out = []
-    if out := out + spans(run):
+                    yield cy, cx, py, px, lcp
+
+    def all_spans():
+        head, run = None, []
+        for pdf in batches:
+            for row in zip(pdf["head"], pdf["cls"].tolist(), pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["size"].tolist(), pdf["train"].tolist(), pdf["held"].tolist(), strict=True):
+                if row[0] != head:
+                    yield from spans(run)
+                    head, run = row[0], []
+                run.append(row)
+        yield from spans(run)
+
+    found = all_spans()
+    while out := list(islice(found, SPAN_ROWS)):
         yield pd.DataFrame(out, columns=["a", "b", "pa", "pb", "n"])
 
 
+def _apart(classes: DataFrame) -> DataFrame:
+    """a, b of training and evaluation classes that slips may keep from sharing any span of LEAST_WORDS words.
+
+    Of the words of a class that are no slips, only as many as the other class has slips may be missing there. With
+    all words in one order, from rare to frequent, the two rarest shared ones therefore are among the first 2 + slips
+    of each, which a join of such pairs of words finds; with one shared word it is among the first 1 + slips. Mismatches
+    at d places leave spans of 2 words or less only in sequences of at most 3 d + 2 words.
+    """
+    c = classes.select("cls", "train", "held", F.size("words").alias("size"), F.size("slips").alias("u"), F.array_except("words", F.transform("slips", lambda x: x["fixed"])).alias("clean"))
+    w = c.select("cls", F.explode("clean").alias("word"))
+    rank = w.join(w.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("r"))
+    most = c.agg(F.coalesce(F.max("u"), F.lit(0)).alias("most"))
+    keys = c.drop("clean").join(rank, "cls").crossJoin(F.broadcast(most)).withColumns({
+        "ones": F.expr(f"if(size(r) <= {FEW} or size(r) > {MANY}, transform(slice(r, 1, 1 + most), (x, i) -> struct(x as key, 1 as m, i + 1 as at)), array())"),
+        "twos": F.expr(f"if(size(r) between 2 and {MOST}, flatten(transform(slice(r, 2, 1 + most), (y, j) -> transform(slice(r, 1, j + 1), x -> struct(concat(x, ' ', y) as key, 2 as m, j + 2 as at)))), array())"),
+    })
+    keys = keys.select("cls", "train", "held", "size", "u", F.explode(F.concat("ones", "twos")).alias("k")).select("cls", "train", "held", "size", "u", "k.*")
+    a, b = (keys.where(side).select("key", "m", *(F.col(x).alias(x + y) for x in ("cls", "size", "u", "at"))) for side, y in (("train", "_a"), ("held", "_b")))
+    may = "cls_a <> cls_b and u_a + u_b > 0 and at_a <= m + u_b and at_b <= m + u_a and least(size_a, size_b) <= 3 * (u_a + u_b) + 2"
+    return a.join(b, ["key", "m"]).where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
+def in_order(a: list[str], b: list[str]) -> bool:
+    """The words that two sequences share stand in one order and are LEAST_SPAN of the shorter one or more."""
+    shared = Counter(a) & Counter(b)
+    n = sum(shared.values())
+    if n < LEAST_SPAN * min(len(a), len(b)):
+        return False
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] == n
+
+
 def split_of(split: Column) -> Column:
     """train, dev or test whatever the case and outer white space; null for anything else."""
     s = F.lower(F.regexp_replace(split, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
@@ -277,9 +318,14 @@ def cross_split_pairs(records: DataFrame, id_col: str = "id", text_col: str = "q
         return pd.Series([same_question(list(a), list(b), as_map(x), as_map(y)) for a, b, x, y in zip(wa, wb, sa, sb, strict=True)], dtype=bool)
 
     ca, cb = classes.select(F.col("cls").alias("a"), F.col("words").alias("wa"), F.col("slips").alias("sa")), classes.select(F.col("cls").alias("b"), F.col("words").alias("wb"), F.col("slips").alias("sb"))
+    @F.pandas_udf("boolean")
+    def ordered(wa: pd.Series, wb: pd.Series) -> pd.Series:
+        return pd.Series([in_order(list(a), list(b)) for a, b in zip(wa, wb, strict=True)], dtype=bool)
+
     near = cover.join(ca, "a").join(cb, "b").where((F.col("covered") >= LEAST_SPAN * F.least(F.size("wa"), F.size("wb"))) & same("wa", "wb", "sa", "sb")).select("a", "b")
     both = classes.where("train and held").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    pairs = near.unionByName(both)
+    apart = _apart(classes).join(ca, "a").join(cb, "b").where(same("wa", "wb", "sa", "sb") & ordered("wa", "wb")).select("a", "b")
+    pairs = near.unionByName(apart).unionByName(both)
     train, held = members.where("is_train").select(F.col("cls").alias("a"), F.col("key").alias("ka")), members.where(~F.col("is_train")).select(F.col("cls").alias("b"), F.col("key").alias("kb"))
     return pairs.join(train, "a").join(held, "b").select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
 

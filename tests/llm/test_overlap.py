@@ -34,3 +34,32 @@ def test_empty_and_long(spark):
     assert overlap.cross_split_pairs(table(spark, [])).count() == 0
     long = " ".join(f"word{i}" for i in range(4000))
     assert overlap.cross_split_pairs(table(spark, [("a", long, None, "train"), ("b", long + "!", None, "dev")])).count() == 1
+
+
+def test_uncorrected_slips_between_short_spans(spark):
+    clean = "combivarol flumezine nausea fever cramps itching rash cough swelling fatigue dizziness insomnia"
+    rows = [
+        # spans of 3, 3 and 2 words of 10: 0.8 together, none 0.4 alone
+        ("t1", "nausea fever cramps combivarol itching rash cough flumezine swelling fatigue", clean, "train"),
+        ("e1", "nausea fever cramps combivarul itching rash cough flumezyne swelling fatigue", clean, "dev"),
+        ("e2", "nausea fever cramps insomnia itching rash cough dizziness swelling fatigue", clean, "dev"),
+        # no span of 3 words
+        ("t2", "rash cough combivarol nausea insomnia", clean, "train"),
+        ("e3", "rash cough combivarul nausea insomnia", clean, "test"),
+        ("e4", "nausea insomnia combivarul rash cough", clean, "test"),
+        ("t3", "swelling flumezine cramps", clean, "train"),
+        ("e5", "swelling flumezyne cramps", clean, "test"),
+        ("t4", "flumezine dizziness", clean, "train"),
+        ("e6", "flumezyne dizziness", clean, "test"),
+    ]
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(table(spark, rows)).collect()}
+    assert got == {("e1", "t1"), ("e3", "t2"), ("e5", "t3"), ("e6", "t4")}
+
+
+def test_span_of_records_of_unequal_size_is_found_in_either_order():
+    import pandas as pd
+
+    for sizes in ([7, 8], [8, 7]):
+        words = [["a", "b", "c", "x"], ["a", "b", "c", "y"]]
+        pdf = pd.DataFrame({"head": ["a b c"] * 2, "cls": [1, 2], "place": [0, 0], "suffix": words, "size": sizes, "train": [True, False], "held": [False, True]})
+        assert [tuple(r) for d in overlap._shared(iter([pdf])) for r in d.itertuples(index=False)] == [(1, 2, 0, 0, 3)]
