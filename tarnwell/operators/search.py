@@ -19,6 +19,7 @@ from tarnwell.functions import text as T
 K1, B = 1.2, 0.75
 DENSE_WEIGHT = 0.7
 QUERY_BLOCK = 4096
+SIM_DIGITS = 9  # similarities are equal if they agree when rounded so
 
 
 def topk(scored: DataFrame, group: str | list[str], k: int, *order: Column) -> DataFrame:
@@ -32,6 +33,24 @@ def finite_vector(v: Column, dim: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(v) == dim) if dim else ok, F.lit(False))
 
 
+def _first(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all that may be among the k first of each row of ``sims``.
+
+    ``topk`` rounds to SIM_DIGITS later, so all within two of their steps of the k-th similarity may be equal to it and
+    stay; of columns with the very same similarity only the k smallest ids can be among the first.
+    """
+    at = sims.shape[1] - min(k, sims.shape[1])
+    least = np.partition(sims, at, axis=1)[:, at] - 2 * 10.0**-SIM_DIGITS
+    r, c = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+    if len(r) > k * len(sims):
+        order = np.lexsort((ids[c], -sims[r, c], r))
+        r, c = r[order], c[order]
+        fresh = np.r_[True, (r[1:] != r[:-1]) | (sims[r, c][1:] != sims[r, c][:-1])]
+        place = np.arange(len(r)) - np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0))
+        r, c = r[place < k], c[place < k]
+    return r, c
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
     """qid, id, sim, rank of the k most similar rows of ``corpus(id, embedding)`` for each of ``queries(qid, embedding)``.
 
@@ -60,17 +79,14 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataF
                 x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 sims = qm @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                 sims[qids[:, None] == own[None, :]] = -np.inf
-                n = min(k + 1, sims.shape[1])
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :n] if n == sims.shape[1] else np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                r, c = np.repeat(np.arange(len(qids)), n), best.ravel()
-                keep = np.isfinite(sims[r, c])
-                yield pd.DataFrame({"qid": qids[r[keep]], "id": own[c[keep]], "sim": sims[r[keep], c[keep]]})
+                r, c = _first(sims, own, k)
+                yield pd.DataFrame({"qid": qids[r], "id": own[c], "sim": sims[r, c]})
 
         part = usable.mapInPandas(score, "qid long, id long, sim double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "qid long, id long, sim double, rank int")
-    return topk(out, "qid", k, F.desc(F.round("sim", 9)), F.asc("id"))
+    return topk(out, "qid", k, F.desc(F.round("sim", SIM_DIGITS)), F.asc("id"))
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, query_terms=T.query_terms, document_terms=T.document_terms) -> DataFrame:

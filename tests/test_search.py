@@ -87,3 +87,16 @@ def test_section_quota_and_step_back(spark):
     b = spark.createDataFrame([(1, 6, 1), (1, 7, 2)], "qid long, id long, rank int")
     assert [r.id for r in search.step_back_merge(a, b).orderBy("rank").collect()] == [5, 6, 7]
     assert list(itertools.islice((r.rank for r in search.step_back_merge(a, b).orderBy("rank").collect()), 3)) == [1, 2, 3]
+
+
+def test_equal_vectors_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    same = rng.standard_normal(8).astype(np.float32).tolist()
+    rows = [(i, same) for i in rng.permutation(50).tolist()] + [(100 + i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(100)]
+    c = corpus(spark, rows).coalesce(1)
+    got = search.dense_topk(c.where("id in (3, 49, 120)").withColumnRenamed("id", "qid"), c, 5, 8).collect()
+    ranked = {q: [r.id for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] for q in (3, 49, 120)}
+    assert ranked[3] == [0, 1, 2, 4, 5] and ranked[49] == [0, 1, 2, 3, 4]
+    x = np.array([v for _, v in rows], dtype=float)
+    s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x[-80] / np.linalg.norm(x[-80]))
+    assert ranked[120] == [i for _, i in sorted((-round(v, 9), i) for v, (i, _) in zip(s, rows, strict=True) if i != 120)][:5]
