@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,8 +58,8 @@ def boundary_level(text: str, limit: int, cuts: list[tuple[int, int, int]] | Non
 def _overlap_start(text: str, start: int, cuts_at: list[int], overlap: int) -> int:
     """Where the repeated tail of the piece before begins: at most ``overlap`` characters before ``start``."""
     least = max(0, start - overlap)
-    inside = [c for c in cuts_at if least < c < start]
-    return inside[0] if inside else least
+    k = bisect_right(cuts_at, least)
+    return cuts_at[k] if k < len(cuts_at) and cuts_at[k] < start else least
 
 
 def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str | None, list[tuple[int, int, int, int, str]]]:
@@ -67,7 +68,7 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     Outer white space is not part of the text. A null or blank text has no piece and no level, a text within
     the limit is one piece with no level. New text of all pieces, with the separators between them, is the
     whole text. A piece after the first begins with the last ``overlap`` characters of the one before it, or
-    with fewer where a boundary falls within them or the limit leaves less room.
+    with fewer where a boundary falls within them or a single segment of the level leaves less room.
     """
     text = (text or "").strip()
     if not text:
@@ -77,13 +78,13 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     cuts = cut_points(text)
     level = boundary_level(text, limit, cuts)
     allowed = [c for c in cuts if c[2] <= LEVELS.index(level)]
+    starts = [c[1] for c in cuts]
     least = math.ceil((len(text) - overlap) / (limit - overlap))
     for n in range(least, least * 2 + 3):
-        if bounds := _balanced(text, n, allowed, limit, overlap, hard=level == "none"):
+        if bounds := _balanced(text, n, allowed, starts, limit, overlap, hard=level == "none"):
             break
     else:
-        bounds = _greedy(text, allowed, limit, overlap)
-    starts = [c[1] for c in cuts]
+        bounds = _greedy(text, allowed, starts, limit, overlap)
     pieces, last = [], 0
     for i, (start, end) in enumerate(bounds):
         begin = start
@@ -94,45 +95,57 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     return level, pieces
 
 
-def _balanced(text, n, allowed, limit, overlap, hard):
-    """(start, end) of n pieces with each target snapped to the strongest near boundary; None if a limit fails."""
+def _balanced(text, n, allowed, starts, limit, overlap, hard):
+    """(start, end) of n pieces with each target snapped to the strongest near boundary; None if a limit fails.
+
+    The limit holds for a piece with its whole overlap, from ``begin``.
+    """
     size, reach = len(text), len(text) / n / 4
-    bounds, start = [], 0
+    bounds, start, begin = [], 0, 0
     at = 0
     for i in range(1, n):
         target = size * i / n
         while at < len(allowed) and allowed[at][1] <= start:
             at += 1
         near = []
-        for end, after, level in allowed[at:]:
-            if end > target + reach or end - start > limit:
+        for k in range(at, len(allowed)):
+            end, after, level = allowed[k]
+            if end > target + reach or end - begin > limit:
                 break
-            if end >= target - reach:
+            if end >= target - reach and end > start:
                 near.append((level, abs(end - target), end, after))
         if near:
             _, _, end, after = min(near)
         elif hard:
-            end = after = min(round(target), start + limit)
+            end = after = min(round(target), begin + limit)
         else:
             return None
+        if end <= start:
+            return None
         bounds.append((start, end))
-        start = after
+        start, begin = after, max(_overlap_start(text, after, starts, overlap), start)
     bounds.append((start, size))
-    return bounds if all(0 < e - s <= limit - (min(overlap, limit // 4) if i and hard else 0) for i, (s, e) in enumerate(bounds)) else None
+    return bounds if start < size <= begin + limit else None
 
 
-def _greedy(text, allowed, limit, overlap):
-    """The furthest allowed boundary within the limit each time; a hard cut where there is none."""
-    bounds, start, size, k = [], 0, len(text), 0
-    while size - start > limit:
-        best = None
-        while k < len(allowed) and allowed[k][0] - start <= limit:
-            if allowed[k][0] > start:
-                best = allowed[k]
+def _greedy(text, allowed, starts, limit, overlap):
+    """The furthest allowed boundary within the limit each time, the overlap counted; a hard cut where there is none.
+
+    Where the next segment leaves no room for the whole overlap, it is a piece of its own and the overlap shrinks.
+    """
+    bounds, start, begin, size, k = [], 0, 0, len(text), 0
+    while size - begin > limit:
+        while k < len(allowed) and allowed[k][0] <= start:
             k += 1
-        end, after = best[:2] if best else (start + limit - overlap, start + limit - overlap)
+        best = allowed[k][:2] if k < len(allowed) else (size, size)
+        while k < len(allowed) and allowed[k][0] - begin <= limit:
+            best = allowed[k][:2]
+            k += 1
+        end, after = best if best[0] - start <= limit else (begin + limit, begin + limit)
+        if end == size:
+            break
         bounds.append((start, end))
-        start = after
+        start, begin = after, max(_overlap_start(text, after, starts, overlap), start)
     bounds.append((start, size))
     return bounds
 

@@ -39,3 +39,19 @@ def test_very_long_texts():
     for text in ("x" * 300_000, "word " * 60_000, "\n" * 200_000 + "a", "a.\n\n" * 50_000):
         level, pieces = sp.split_text(text)
         assert all(len(p[4]) <= sp.LIMIT for p in pieces)
+
+
+def test_the_limit_leaves_room_for_the_whole_overlap():
+    words = lambda n: ("abcdefghi " * (n // 10 + 1))[: n - 1] + "."
+    for text in ["\n\n".join(["x" * 800] * 2 + ["y" * 123] + ["x" * 800] * 2), "\n\n".join(["z" * 574] * 6), "\n\n".join(["v" * 250, "w" * 1640] + ["u" * 90] * 30)]:
+        level, pieces = sp.split_text(text)
+        starts = [c[1] for c in sp.cut_points(text)]
+        assert level == "paragraph"
+        for a, b in zip(pieces, pieces[1:], strict=False):
+            whole = sp._overlap_start(text, b[1] + b[3], starts, sp.OVERLAP)
+            assert b[1] == max(whole, a[1] + a[3]) and len(b[4]) <= sp.LIMIT
+    for text in ["\n\n".join([words(1724)] * 2), "\n\n".join([words(1700), words(300), words(1790)])]:
+        _, pieces = sp.split_text(text)  # only a segment without room makes the overlap shrink
+        starts = [c[1] for c in sp.cut_points(text)]
+        for b in pieces[1:]:
+            assert b[1] == sp._overlap_start(text, b[1] + b[3], starts, sp.OVERLAP) or len(b[4]) == sp.LIMIT and "\n\n" not in text[b[1] + b[3] : b[2]]
