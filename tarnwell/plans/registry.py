@@ -352,13 +352,13 @@ o as (select *, case when lag(title) over w = title and lag(page) over w = page
 g as (select *, sum(opens) over (partition by doc_id order by page rows unbounded preceding) as win from o)
 select doc_id, win::bigint as "window", min(title) as title, min(page) as page_start, max(page) as page_end from g group by doc_id, win""")
 def article_windows(s, d):
-    return align.windows(_pages(s, d)).drop("body")
+    return align.windows(_pages(s, d)).drop("body", "headings")
 
 
 def _pages(s, d):
     c = table(s, d, "document_chunks").where("page is not null")
     body = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("id", "content")))), lambda x: x["content"]))
-    return c.groupBy("doc_id", "page").agg(F.min_by("section", F.when(F.col("section") != "", F.col("id"))).alias("title"), body.alias("body"))
+    return c.groupBy("doc_id", "page").agg(F.min_by("section", F.when(F.col("section") != "", F.col("id"))).alias("title"), body.alias("body"), F.collect_set(F.when(F.col("section") != "", F.col("section"))).alias("headings"))
 
 
 @query()

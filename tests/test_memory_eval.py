@@ -109,3 +109,11 @@ def test_files(spark, tmp_path):
     m = spark.createDataFrame([("r1", "ndcg", 0.5), ("lost", "ndcg", 0.1)], "run_id string, metric_name string, metric_value double")
     files.record_run(run, m, m, str(tmp_path))
     assert [r.run_id for r in files.recorded(spark, str(tmp_path), "eval_run_metrics").collect()] == ["r1"]
+
+
+def test_alignment_prefers_chunks_under_the_headings_of_the_window(spark):
+    pages = spark.createDataFrame([(1, 1, "Gout", "alpha beta", ["First Aid", "?"]), (1, 2, "Rash", "gamma", [])], "doc_id long, page int, title string, body string, headings array<string>")
+    rows = [(1, 2, f"a{i}", "none", f"other {i}") for i in range(9)] + [(1, 2, "z1", "none", "First-Aid "), (1, 1, "z2", "none", "first aid!"), (1, 2, "z3", "none", None), (1, 2, "z4", "none", "??"), (1, 1, "z5", "none", "?")]
+    chunks = spark.createDataFrame(rows, "doc_id long, page int, chunk_id string, content string, section string")
+    got = {r.chunk_id: (r.score, r["rank"]) for r in align.aligned(align.windows(pages), chunks).where("window = 1").collect()}
+    assert len(got) == 8 and got["z2"] == (9, 1) and got["z5"] == (6, 2) and got["z1"] == (5, 3) and got["a0"] == (2, 4)
