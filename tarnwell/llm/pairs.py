@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.forms import one_form
+from tarnwell.operators.search import topk
 from tarnwell.session import cut
 
 # Stand-ins for an answer, labels before a copied question, and ways to decline.
@@ -76,8 +77,8 @@ FRAGMENT = 3  # a cut word is rarer than the word it begins by this factor
 END_SHARE = 0.03  # a text is truncated if its last words end a sentence less often than this
 LEAST_SEEN = 8  # occurrences of a context that make its share count
 ORDER = 4  # words of the longest context
-MODEL_DOCS = 6_000  # labelled documents the language model is fitted on, at most
-MODEL_GRAMS = 30_000
+MODEL_DOCS = 20_000  # labelled documents the language model is fitted on, at most
+MODEL_GRAMS = 30_000  # of each language, the most frequent
 MARGIN_ANSWER, MARGIN_QUESTION = 6.0, 3.0  # log odds that the two languages must differ by
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -133,8 +134,9 @@ def _grams(text: str) -> list[str]:
 def language_model(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = MODEL_DOCS) -> dict:
     """Naive Bayes over character n-grams: {language: (log prior, {gram: log probability}, log probability unseen)}.
 
-    Fitted on at most ``sample`` labelled rows, picked by a hash of the text; labels are folded and their suffix
-    dropped. Counts are formed in Spark; the ``MODEL_GRAMS`` most frequent grams of the sample come to the driver.
+    Fitted on at most ``sample`` distinct labelled texts, those of the smallest hashes, with the label most copies have;
+    labels are folded and their suffix dropped. Counts are formed in Spark; the grams that are among the ``MODEL_GRAMS``
+    most frequent of any language come to the driver.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,9 +148,11 @@ def language_model(documents: DataFrame, text_col: str = "text", lang_col: str =
         yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
     lang = F.lower(F.regexp_extract(F.col(lang_col), r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
-    rows = documents.select(F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null and lang <> ''").orderBy(F.xxhash64("text")).limit(sample)
+    labelled = documents.select(F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null and lang <> ''").withColumn("h", F.xxhash64("text"))
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("last"))
+    rows = labelled.join(F.broadcast(last), F.col("h") <= F.col("last")).groupBy("h").agg(F.first("text").alias("text"), F.mode("lang", True).alias("lang"))
     counted = rows.repartition(12, "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    keep = counted.groupBy("gram").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "gram").limit(MODEL_GRAMS).select("gram")
+    keep = topk(counted, "lang", MODEL_GRAMS, F.desc("n"), F.asc("gram")).select("gram").distinct()
     model: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.join(keep, "gram").toLocalIterator():
         model[r.lang][r.gram] = r.n

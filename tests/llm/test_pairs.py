@@ -68,3 +68,11 @@ def test_refusals_after_courtesies():
         assert pairs.is_refusal(t)
     for t in ["Thank you for asking. It passes within a week.", "Sorry to hear about the nausea: it passes. I cannot help with other things.", "Take 300 mg daily. I cannot answer this question for children.", "Thank you. Please ask your doctor.", "Sorry. Gout passes. I can't help with that."]:
         assert not pairs.is_refusal(t)
+
+
+def test_language_model_reads_distinct_texts_and_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MODEL_GRAMS", 100)
+    rows = [(EN * 9, "en")] * 300 + [(f"{ES * 9} {i}", "es") for i in range(3)] + [(EN * 9, "es")] * 20
+    model = pairs.language_model(spark.createDataFrame(rows, "text string, lang string"), sample=4)
+    assert set(model) == {"en", "es"} and "ía" not in model["en"][0] and len(model["es"][0]) >= 100
+    assert pairs.MODEL_DOCS >= 20_000
