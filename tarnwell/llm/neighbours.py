@@ -1,11 +1,14 @@
 """The k most similar vectors for every vector, by a hash-prefix forest.
 
 Every tree keeps its vectors as an array sorted by a long hash string (signs of random projections), so the
-vectors with the longest common prefix stand next to each other. Descending to the longest match is a look at
-the neighbours in that array, ascending is widening the look, and all trees ascend in step. Two levels make it
-scale: a few outer trees range-partition their sorted arrays over the cluster, and each range of some thousand
-vectors is searched by an inner forest in memory. Every candidate is scored exactly and only k rows per vector
-and outer tree leave a task.
+vectors with a common prefix are one run of that array. A search descends in every tree to the longest prefix
+whose runs, of all trees together, hold enough candidates: all trees stop at one length, so going back from full
+strings they ascend in step, and the length differs from vector to vector with the density around it.
+
+Two levels make it scale: outer trees range-partition their sorted arrays over the cluster, and each range of some
+thousand vectors is searched by an inner forest in memory. The number of outer trees follows the number of
+ranges: the longer the prefix that a range stands for, the likelier one tree parts two neighbours. All kept
+candidates are scored exactly and only k rows per vector and outer tree leave a task.
 
 Exact copies are folded to one representative first, so that a hot vector costs one row and not its square.
 """
@@ -13,9 +16,10 @@ Exact copies are folded to one representative first, so that a hot vector costs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,21 +27,31 @@ from pyspark.sql import functions as F
 from tarnwell.session import cut
 
 DIM = 64
-OUTER_TREES = 8
-INNER_TREES = 36
-REACH = 24  # places looked at on either side of a vector in an inner tree
+INNER_TREES = 16
+CANDIDATES = 2048  # places of all inner trees together that a vector is compared with, at least
+SLACK = 4  # further candidates kept for the exact comparison
 BLOCK = 16_384  # vectors a range of an outer tree aims at
+LEAST_COSINE, MISS = 0.9, 0.003  # outer trees part neighbours of this cosine with at most this probability
 BITS = 60
 SEED = 20250101
 
 
+def outer_trees(ranges: int, cosine: float = LEAST_COSINE, miss: float = MISS) -> int:
+    """How many trees of ``ranges`` ranges keep two vectors of that cosine together in one at least, but for ``miss``.
+
+    One hyperplane leaves them on one side with probability 1 - angle / pi, and log2(ranges) planes make the ranges.
+    """
+    together = (1 - acos(cosine) / pi) ** log2(max(ranges, 1))
+    return 1 if together >= 1 - miss else ceil(log(miss) / log(1 - together))
+
+
 def _planes(seed: int, dim: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, BITS))
 
 
 def _hashes(unit: np.ndarray, seed: int) -> np.ndarray:
     """One integer a vector whose bits, from the highest, are the characters of its hash string."""
-    return ((unit @ _planes(seed, unit.shape[1])) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+    return ((unit @ _planes(seed, unit.shape[1]).astype(unit.dtype)) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
 def usable(embedding: Column, dim: int = DIM) -> Column:
@@ -46,72 +60,131 @@ def usable(embedding: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(embedding) == dim) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _rows(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # against overflow of the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keep_best(ids, sims, order, new_ids, new_sims, k):
-    """Merge (rows of) candidates into the running best k of the vectors ``order``; a candidate counts once."""
-    ids_all = np.concatenate([ids[order], new_ids], axis=1)
-    sims_all = np.concatenate([sims[order], new_sims], axis=1)
-    rank = np.lexsort((ids_all, -sims_all))
-    ids_all, sims_all = np.take_along_axis(ids_all, rank, 1), np.take_along_axis(sims_all, rank, 1)
-    again = np.zeros_like(ids_all, dtype=bool)
-    again[:, 1:] = (ids_all[:, 1:] == ids_all[:, :-1]) & (ids_all[:, 1:] >= 0)
-    place = np.argsort(again, axis=1, kind="stable")[:, :k]
-    ids[order] = np.take_along_axis(ids_all, place, 1)
-    sims[order] = np.where(np.take_along_axis(again, place, 1), -np.inf, np.take_along_axis(sims_all, place, 1))
-    ids[order] = np.where(np.isneginf(sims[order]), -1, ids[order])
-
-
-def forest_topk(ids: np.ndarray, unit: np.ndarray, k: int, trees: int = INNER_TREES, reach: int = REACH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and cosines, n × k, of the best neighbours of every row found by a forest of sorted hash strings.
-
-    Missing places hold id -1. Ids must not be negative. Equal cosines are put in order of id.
+def _runs(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of one sorted array whose strings share their first ``length`` characters."""
+    prefix = codes >> np.int64(BITS - length)
+    edges = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
+    return np.r_[0, edges], np.r_[edges, len(codes)]
+
+
+def _stops(sorted_codes: list[np.ndarray], orders: list[np.ndarray], want: int) -> np.ndarray:
+    """For each vector the longest prefix whose runs in all trees together have ``want`` places (0 if none has)."""
+    n = len(orders[0])
+    stop = np.zeros(n, dtype=np.int64)
+    for length in range(1, BITS + 1):
+        total = np.zeros(n, dtype=np.int64)
+        for codes, order in zip(sorted_codes, orders, strict=True):
+            start, end = _runs(codes, length)
+            total[order] += np.repeat(end - start, end - start)
+        deep = total >= want
+        if not deep.any():
+            break
+        stop[deep] = length
+    return stop
+
+
+def _best(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, in order; a pair counts once, equal similarity goes to the smaller column."""
+    _, once = np.unique(rows * n + cols, return_index=True)
+    rows, cols, sims = rows[once], cols[once], sims[once]
+    order = np.lexsort((cols, -sims, rows))
+    rows, cols, sims = rows[order], cols[order], sims[order]
+    first = np.searchsorted(rows, np.arange(n))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep], sims[keep]
+
+
+def _compared(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the pairs that may be among the k best of their row, ``least`` being the k-th so far."""
+    sims = x[rows] @ x[cols].T
+    sims[rows[:, None] == cols[None, :]] = -np.inf
+    bar = least[rows]
+    if len(cols) > k and np.isneginf(bar).any():
+        bar = np.maximum(bar, np.partition(sims, len(cols) - k, axis=1)[:, len(cols) - k] - np.float32(1e-6))
+    r, c = np.nonzero((sims >= bar[:, None]) & (sims > -2))
+    s = sims[r, c]
+    if len(r) > 8 * k * len(rows):  # many equal ones: those of the smallest number are enough
+        order = np.lexsort((cols[c], -np.round(s, 6), r))
+        r, c, s = r[order], c[order], s[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r] < k
+        r, c, s = r[keep], c[keep], s[keep]
+    return rows[r], cols[c], s
+
+
+def forest_topk(unit: np.ndarray, k: int, trees: int = INNER_TREES, want: int = CANDIDATES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, cosine) of the k best neighbours of every row that a forest of sorted hash strings finds.
+
+    Equal cosines are put in order of row number. A run of more than ``want`` places is searched in windows of that
+    many around each vector, so equal strings, however many, cost no square.
     """
-    n = len(ids)
-    best_ids, best_sims = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf)
-    for t in range(trees):
-        order = np.lexsort((ids, _hashes(unit, seed + 1 + t)))
-        sorted_ids, x = ids[order], unit[order]
-        near_ids, near = np.full((n, 2 * reach), -1, dtype=np.int64), np.full((n, 2 * reach), -np.inf)
-        for s in range(1, min(reach, n - 1) + 1):
-            dots = np.einsum("ij,ij->i", x[:-s], x[s:])
-            near[:-s, s - 1], near_ids[:-s, s - 1] = dots, sorted_ids[s:]
-            near[s:, reach + s - 1], near_ids[s:, reach + s - 1] = dots, sorted_ids[:-s]
-        _keep_best(best_ids, best_sims, order, near_ids, near, k)
-    return best_ids, best_sims
-
-
-def _planted(trees: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                unit = _unit(_rows(pdf["embedding"]))
+    n, x = len(unit), unit.astype(np.float32)
+    codes = [_hashes(x, seed + 1 + t) for t in range(trees)]
+    orders = [np.argsort(c, kind="stable") for c in codes]
+    codes = [c[o] for c, o in zip(codes, orders, strict=True)]
+    stop = _stops(codes, orders, want)
+    least = np.full(n, -np.inf, dtype=np.float32)
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    for c, order in zip(codes, orders, strict=True):
+        found, stop_here = [best], stop[order]
+        for length in np.unique(stop_here):
+            at = np.flatnonzero(stop_here == length)
+            start, end = _runs(c, int(length))
+            run = np.searchsorted(start, at, side="right") - 1
+            cuts = np.flatnonzero(run[1:] != run[:-1]) + 1
+            for places in np.split(at, cuts):
+                g = np.searchsorted(start, places[0], side="right") - 1
+                lo, hi = start[g], end[g]
+                if hi - lo <= want:
+                    found.append(_compared(x, order[places], order[lo:hi], least, k + SLACK))
+                    continue
+                for part in np.array_split(places, -(-len(places) // 256)):
+                    window = np.arange(max(lo, part[0] - want // 2), min(hi, part[-1] + want // 2))
+                    smallest = np.arange(lo, min(hi, lo + k + 1))
+                    found.append(_compared(x, order[part], order[np.union1d(window, smallest)], least, k + SLACK))
+        best = _best(*(np.concatenate(f) for f in zip(*found, strict=True)), n, k + SLACK)
+        count = np.bincount(best[0], minlength=n)
+        full = np.flatnonzero(count == k + SLACK)
+        last = np.cumsum(count)[full] - 1
+        least[full] = best[2][last] - np.float32(1e-6)
+    r, c, _ = best
+    exact = np.round(np.einsum("ij,ij->i", unit[r], unit[c]), 12)
+    return _best(r, c, exact, n, k)
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """A column of lists of ``dim`` numbers without nulls as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _planted(trees: int, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = _vectors(b.column("embedding"), dim).astype("<f8")
+                unit, width = _unit(raw), 8 * dim
+                packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.arange(0, width * (b.num_rows + 1), width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(unit).tobytes())])
                 for t in range(trees):
-                    yield pd.DataFrame({"tree": t, "hash": _hashes(unit, SEED - 1 - t), "rep": pdf["rep"], "embedding": pdf["embedding"]})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(_hashes(unit, SEED - 1 - t)), b.column("rep"), packed], ["tree", "hash", "rep", "unit"])
 
     return run
 
 
-def _searched(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for p in batches if len(p)]
+def _searched(k: int, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("tree").to_numpy(), b.column("rep").to_numpy(), np.frombuffer(b"".join(b.column("unit").to_pylist()), "<f8").reshape(-1, dim)) for b in batches if b.num_rows]
         if not parts:
             return
-        pdf = pd.concat(parts, ignore_index=True)
-        for _, block in pdf.groupby("tree"):
-            ids, unit = block["rep"].to_numpy(np.int64), _unit(_rows(block["embedding"]))
-            # ids are replaced by their rank, as the search wants small ones that aren't negative
-            names = np.sort(ids)
-            near, sims = forest_topk(np.searchsorted(names, ids), unit, k)
-            r, c = np.nonzero(near >= 0)
-            yield pd.DataFrame({"rep": ids[r], "other": names[near[r, c]], "sim": sims[r, c]})
+        tree, rep, unit = (np.concatenate(p) for p in zip(*parts, strict=True))
+        for t in np.unique(tree):
+            mine = np.flatnonzero(tree == t)
+            mine = mine[np.argsort(rep[mine])]  # so the order of rows is that of ids
+            r, c, sims = forest_topk(unit[mine], k)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[mine][r]), pa.array(rep[mine][c]), pa.array(sims)], ["rep", "other", "sim"])
 
     return run
 
@@ -133,9 +206,9 @@ def nearest(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding",
     distinct = first.where("copy = 1").select(F.col("id").alias("rep"), "h1", "h2", "embedding")
     n = distinct.count()
     ranges = max(1, -(-n // BLOCK))
-    trees = OUTER_TREES if ranges > 1 else 1
-    planted = distinct.repartition(max(ranges, 1), "rep").mapInPandas(_planted(trees), f"tree int, hash long, rep long, embedding {v.schema['embedding'].dataType.simpleString()}")
-    found = planted.repartitionByRange(ranges * trees, "tree", "hash", "rep").mapInPandas(_searched(k), "rep long, other long, sim double")
+    trees = outer_trees(ranges)
+    planted = distinct.select("rep", "embedding").mapInArrow(_planted(trees, dim), "tree int, hash long, rep long, unit binary")
+    found = planted.repartitionByRange(ranges * trees, "tree", "hash", "rep").mapInArrow(_searched(k, dim), "rep long, other long, sim double")
     best = found.groupBy("rep", "other").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= k).drop("r")
     heads = first.select("id", "h1", "h2").join(distinct.select("rep", "h1", "h2"), ["h1", "h2"]).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     # what the members of a class choose from: their own first copies, then those of the classes near it
