@@ -2,8 +2,9 @@
 
 Each defective pair gets one defect: empty, refusal, copy, language or truncated, in this order. Language
 compares the posteriors of prompt and response under a character n-gram naive Bayes model; truncation is a low
-likelihood that the text ends after its last words, under word n-gram counts of sentence ends in all responses.
-How often an answer recurs is no evidence that it is complete.
+likelihood that the text ends after its last words, under word n-gram counts of sentence ends in all responses,
+interpolated from the last word alone to longer contexts. Each distinct response counts once, so copies neither
+add to the evidence nor take from it, and only shares and ratios decide, so the size of the tables doesn't.
 """
 
 from __future__ import annotations
@@ -62,20 +63,22 @@ COURTESY = re.compile(
     )
 )
 
-#: Words that never end a sentence.
+#: Words that never end a phrase, for bare phrases, whose ends no sentence shows.
 OPEN_WORDS = frozenset(
     "a an the and or but nor of to for with from at by into onto than that which who whose whom because so if when while although unless until since as such is are was were be been being has have had may might must can could shall should will would "
     "do does did not very more most their your his her its my our this these those every each some any between about both either neither before after during under over "
     "el la los las un una de del y o que con por para sin sobre su sus se al en como si cuando porque le les des du au aux et ou qui avec pour sans sur son sa ses dans par comme quand ne pas très "
     "der die das den dem des ein eine einen einem einer und oder aber dass wenn weil mit von für ohne über unter zwischen nach vor bei ist sind wird werden hat haben sehr и или что с в на по для из от к у о ο η το και με σε για από".split()
 )
+OPEN_MARKS = frozenset(",;:…")  # marks that announce that the text goes on
 SHORT = 7  # words up to which an answer of one clause may be a bare phrase
 HEAD = 3  # words that tell how a sentence begins
 OPENING = 0.9  # words open a sentence if this share of their places are beginnings of sentences longer than SHORT
-FRAGMENT = 3  # a cut word is rarer than the word it begins by this factor
+FRAGMENT = 3  # a cut word is rarer at ends than the word it begins by this factor
+RARE = 10  # and inside of sentences by this factor
 
-END_SHARE = 0.03  # a text is truncated if its last words end a sentence less often than this
-LEAST_SEEN = 8  # occurrences of a context that make its share count
+END_SHARE = 0.03  # a text is truncated if it is less likely than this to end after its last words
+PRIOR = 6  # places that the likelihood under a shorter context counts as
 ORDER = 4  # words of the longest context
 MODEL_DOCS = 20_000  # labelled documents the language model is fitted on, at most
 MODEL_GRAMS = 30_000  # of each language, the most frequent
@@ -151,7 +154,7 @@ def language_model(documents: DataFrame, text_col: str = "text", lang_col: str =
     labelled = documents.select(F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null and lang <> ''").withColumn("h", F.xxhash64("text"))
     last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h").alias("last"))
     rows = labelled.join(F.broadcast(last), F.col("h") <= F.col("last")).groupBy("h").agg(F.first("text").alias("text"), F.mode("lang", True).alias("lang"))
-    counted = rows.repartition(12, "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = cut(rows.repartition(12, "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     keep = topk(counted, "lang", MODEL_GRAMS, F.desc("n"), F.asc("gram")).select("gram").distinct()
     model: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.join(keep, "gram").toLocalIterator():
@@ -183,7 +186,7 @@ def other_language(model: dict, question: str | None, answer: str | None) -> boo
 
 
 def _tokens(text: str) -> list[str]:
-    t = (one_form(text, fold_case=True) or "").rstrip("\"'”’)] ")
+    t = (one_form(text, fold_case=True) or "").rstrip("\"'”’)] ").replace("...", "…")
     return ["#" if w[0].isdigit() else w for w in _TOKEN.findall(t)]
 
 
@@ -231,7 +234,7 @@ def _heads(sentence: list[str]) -> list[str]:
     return ["^ " + " ".join(sentence[:n]) for n in range(2, min(HEAD, len(sentence)) + 1)]
 
 
-BASE = "src string, rec_id string, defect string, pair long, head string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, hard boolean, brief boolean"
+BASE = "src string, rec_id string, defect string, said long, pair long, head string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, open boolean, brief boolean"
 
 
 def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -246,9 +249,9 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for src, rid, q, a, blocked, pair in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], pdf["pair"].tolist(), strict=True):
+            for src, rid, q, a, blocked, said, pair in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], pdf["said"].tolist(), pdf["pair"].tolist(), strict=True):
                 q, a = (x if isinstance(x, str) else None for x in (q, a))
-                defect, head, seen, last, before, hard, brief = None, None, [], [], [], False, False
+                defect, head, seen, last, before, opened, brief = None, None, [], [], [], False, False
                 if is_empty(a):
                     defect = "sound" if blocked else "empty"
                 elif is_refusal(a):
@@ -260,38 +263,52 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 if defect in (None, "language"):
                     seen, last, before = contexts(a)
                     tokens = _tokens(a)
-                    hard = a.rstrip().endswith(("...", "…", ",", ";", ":")) or (bool(last) and tokens[-1] in OPEN_WORDS)
                     brief = len(tokens) <= SHORT and not any(t in ".!?" for t in tokens)
+                    opened = bool(tokens) and (tokens[-1] in OPEN_MARKS or brief and tokens[-1] in OPEN_WORDS)
                     head = (_heads(tokens) or [None])[-1] if brief else None
-                rows.append((src, rid, defect, pair, head, seen, last if defect is None else [], before if defect is None else [], hard, brief))
-            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "pair", "head", "seen", "last", "before", "hard", "brief"])
+                if defect is not None:
+                    last, before = [], []
+                rows.append((src, rid, defect, said, pair, head, seen, last, before, opened and defect is None, brief))
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "said", "pair", "head", "seen", "last", "before", "open", "brief"])
 
+    said = F.xxhash64(F.lower(F.trim("answer"))).alias("said")
     pair = F.xxhash64(F.lower(F.trim("question")), F.lower(F.trim("answer"))).alias("pair")
-    base = cut(pairs.select("src", "rec_id", "question", "answer", "blocked", pair).mapInPandas(run, BASE))
-    counts = base.select(F.explode("seen").alias("x")).groupBy("x.context").agg(F.count("*").alias("n"), F.sum("x.ends").alias("e"))
+    base = cut(pairs.select("src", "rec_id", "question", "answer", "blocked", said, pair).mapInPandas(run, BASE))
     key = ["src", "rec_id"]
-    open_end = base.where(F.col("defect").isNull() & (F.size("last") > 0)).select(*key, "pair", "head", "last", "before", "hard", "brief")
+    # one row stands for all rows that answer the same; only keys are grouped, with a partial aggregation before the shuffle
+    once = base.where(F.size("seen") > 0).groupBy("said").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    counts = cut(base.select(*key, "seen").join(once, key, "left_semi").select(F.explode("seen").alias("x")).groupBy("x.context").agg(F.count("*").alias("n"), F.sum("x.ends").alias("e")))
+    single = ~F.col("context").contains(" ")
+    anywhere = counts.where(single).agg((F.coalesce(F.sum("e"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("p0"))
+
+    open_end = base.where(F.col("defect").isNull() & (F.size("last") > 0)).select(*key, "pair", "head", "last", "before", "brief")
     places = open_end.select(*key, "pair", F.lit(1).alias("kind"), F.posexplode("last").alias("order", "context")).unionByName(open_end.select(*key, "pair", F.lit(0).alias("kind"), F.posexplode("before").alias("order", "context")))
     scored = places.join(counts, "context", "left").fillna(0, ["n", "e"])
-    share = lambda kind: F.max_by(F.when((F.col("kind") == kind) & (F.col("n") >= LEAST_SEEN), F.col("e") / F.col("n")), F.when((F.col("kind") == kind) & (F.col("n") >= LEAST_SEEN), F.col("order")))
-    ends = scored.groupBy(*key).agg(share(1).alias("share"), share(0).alias("share_before"), F.max(F.when((F.col("kind") == 1) & (F.col("order") == 0), F.col("n"))).alias("last_seen"))
-    # a last word that occurs nowhere else and begins a known one is itself cut, unless different pairs end in it too often for that
-    odd = scored.where((F.col("kind") == 1) & (F.col("order") == 0) & (F.col("n") <= 1) & (F.length("context") >= 3)).select(*key, "pair", "context")
-    ending = odd.groupBy("context").agg(F.countDistinct("pair").alias("pairs")).withColumn("head3", F.substring("context", 1, 3))
-    known = counts.where((F.col("n") >= 3) & ~F.col("context").contains(" ") & (F.length("context") >= 5)).select(F.col("context").alias("word"), F.col("n").alias("known"), F.substring("context", 1, 3).alias("head3"))
-    begun = ending.join(known, "head3").where(F.startswith("word", "context") & (F.length("word") >= F.length("context") + 2) & (F.col("known") >= FRAGMENT * F.col("pairs"))).select("context").distinct()
-    cut_word = odd.join(begun, "context", "left_semi").select(*key, F.lit(True).alias("cut_word"))
+    steps = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("order", "n", "e"))))
+    likely = lambda c: F.aggregate(c, F.col("p0"), lambda p, x: (x["e"] + PRIOR * p) / (x["n"] + PRIOR))
+    ends = (
+        scored.groupBy(*key).agg(steps(1).alias("s1"), steps(0).alias("s0"), F.max(F.when((F.col("kind") == 1) & (F.col("order") == 0), F.col("n"))).alias("last_seen"))
+        .crossJoin(F.broadcast(anywhere)).select(*key, likely(F.col("s1")).alias("p"), likely(F.col("s0")).alias("p_before"), "last_seen")
+    )
+    # a last word that is rare beside a word that it begins is itself cut, unless too many different pairs end in it
+    odd = scored.where((F.col("kind") == 1) & (F.col("order") == 0) & (F.length("context") >= 3)).select(*key, "pair", "context", "n")
+    ending = odd.groupBy("context").agg(F.countDistinct("pair").alias("pairs"), F.max("n").alias("inside"))
+    lengths = F.sequence(F.lit(3), F.length("context") - 2)
+    begun = counts.where(single & (F.length("context") >= 5)).select(F.explode(F.transform(lengths, lambda i: F.substring(F.col("context"), F.lit(1), i))).alias("context"), "n").groupBy("context").agg(F.max("n").alias("known"))
+    fragments = ending.join(begun, "context").where((F.col("known") >= FRAGMENT * F.col("pairs")) & (F.col("known") >= RARE * F.col("inside")) & (F.col("known") > FRAGMENT - 1)).select("context")
+    cut_word = odd.join(fragments, "context", "left_semi").select(*key, F.lit(True).alias("cut_word"))
     # a brief answer is a bare phrase, unless its first words are found where longer sentences begin and hardly elsewhere
     heads = open_end.where("head is not null").select("head").distinct()
     starts = heads.join(counts.select(F.col("context").alias("head"), F.col("n").alias("starts")), "head").withColumn("phrase", F.expr("substring(head, 3)"))
-    opening = starts.join(counts.select(F.col("context").alias("phrase"), F.col("n").alias("anywhere")), "phrase").where((F.col("starts") >= LEAST_SEEN) & (F.col("starts") >= OPENING * F.col("anywhere"))).select("head", F.lit(True).alias("opening"))
+    opening = starts.join(counts.select(F.col("context").alias("phrase"), F.col("n").alias("anywhere")), "phrase").where(F.col("starts") >= OPENING * (F.col("anywhere") + 1)).select("head", F.lit(True).alias("opening"))
+    unlikely = (F.col("p") < END_SHARE) | ((F.col("last_seen") == 0) & (F.coalesce("p_before", F.lit(0.0)) < END_SHARE))
     broken = (
         open_end.join(ends, key, "left").join(cut_word, key, "left").join(opening, "head", "left")
-        .where(F.col("hard") | F.col("cut_word").isNotNull() | ((~F.col("brief") | F.col("opening").isNotNull()) & ((F.col("share") < END_SHARE) | ((F.coalesce("last_seen", F.lit(0)) <= 1) & (F.coalesce("share_before", F.lit(0.0)) < END_SHARE)))))
-        .select(*key, F.lit("truncated").alias("defect"))
+        .where(F.col("cut_word").isNotNull() | ((~F.col("brief") | F.col("opening").isNotNull()) & unlikely))
+        .select(*key)
     )
-    hard = base.where("defect is null and hard").select(*key, F.lit("truncated").alias("defect"))
-    return base.where("defect is not null and defect <> 'sound'").select(*key, "defect").unionByName(broken).unionByName(hard).distinct()
+    broken = broken.unionByName(base.where("open").select(*key)).distinct().select(*key, F.lit("truncated").alias("defect"))
+    return base.where("defect is not null and defect <> 'sound'").select(*key, "defect").unionByName(broken)
 
 
 def question_answer_pairs(rag: DataFrame, robustness: DataFrame) -> DataFrame:

@@ -76,3 +76,13 @@ def test_language_model_reads_distinct_texts_and_keeps_rare_languages(spark, mon
     model = pairs.language_model(spark.createDataFrame(rows, "text string, lang string"), sample=4)
     assert set(model) == {"en", "es"} and "ía" not in model["en"][0] and len(model["es"][0]) >= 100
     assert pairs.MODEL_DOCS >= 20_000
+
+
+def test_tripled_tables_give_tripled_defects(spark):
+    d = "/root/testdata/sf0.01"
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    rows, docs = pairs.question_answer_pairs(read("tier3_rag"), read("tier5_robustness")).cache(), read("documents")
+    once = [(r.src, r.rec_id, r.defect) for r in pairs.defects(rows, docs).collect()]
+    named = lambda n: rows.withColumn("rec_id", pairs.F.concat("rec_id", pairs.F.lit(f"#{n}")))
+    many = [(r.src, r.rec_id, r.defect) for r in pairs.defects(named(0).unionByName(named(1)).unionByName(named(2)), docs.unionByName(docs).unionByName(docs)).collect()]
+    assert sorted(many) == sorted((s, f"{i}#{n}", x) for s, i, x in once for n in range(3)) and len(once) > 20
