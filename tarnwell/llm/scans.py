@@ -1,9 +1,10 @@
 """Find and repair the traces that scanning leaves in text.
 
 Running titles and chapter lines are recognised by fuzzy repetition over the corpus and by standing inside a
-sentence, page numbers by their shape between lines of prose. Words cut at a line end are joined if the corpus
-vocabulary prefers the joined spelling to the hyphenated one, and a misread word is one that becomes a much more
-frequent word when letters are put back that scanners confuse. All counts cover the whole corpus.
+sentence, page numbers by their shape between lines of prose and by the sequence of numbers in their document.
+Words cut at a line end are joined if the corpus vocabulary prefers the joined spelling to the hyphenated one, and
+a misread word is one that becomes a much more frequent word when letters are put back that scanners confuse. All
+counts cover the whole corpus. One decision a line serves both the report and the repair.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.session import cut
@@ -29,7 +30,9 @@ SMALL_WORDS = "of to and in on the for a an with at by from de la le des du der
 
 SYMBOL_RATIO, USUAL_RATIO, RARE_RATIO = 2, 15, 60
 LEAST_REPEATS = 3
-BROADCAST_WORDS = 200_000  # misread words of up to 40 letters that are broadcast at most, some 20 MB
+LONGEST_WORD = 200  # letters; no longer string is a word of a language
+LEAST_SEQUENCE = 3  # page numbers of a document that show how they follow its pages
+BROADCAST_WORDS = 200_000  # misread words of some 40 letters that are broadcast at most, some 20 MB
 
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _PAGE = re.compile(r"^[\s\-–—\[\](){}|*~·•.:=<>_]*(?:(?:page|pages|pag|pg|p|seite|s|página|стр|σελ)\b\.?\s*)?(\d{1,4})(?:\s*(?:of|/|von|de|sur|из)\s*\d{1,4})?[\s\-–—\[\](){}|*~·•.:=<>_]*$", re.I)
@@ -41,7 +44,7 @@ _COMPOUND = re.compile(r"(?<![^\W_])[^\W_]++(?:[-‑][^\W_]++)++")
 _WORD_START = re.compile(r"\s*([^\W_A-Z][\w!@$|]*)")
 
 SCAN = (
-    "src string, rec_id string, part int, page boolean, heads array<struct<key:string,inside:boolean,sure:boolean>>, "
+    "src string, rec_id string, part int, doc string, at int, numbers array<struct<line:int,value:int,bare:boolean>>, heads array<struct<line:int,key:string,inside:boolean,sure:boolean>>, "
     "cuts array<struct<joined:string,spelled:string,first:string,rest:string,hyphen:boolean>>, words array<string>"
 )
 
@@ -111,7 +114,7 @@ def _shape(lines: list[str]) -> tuple[list[str], list[int]]:
 
 
 def examine(text: str) -> dict:
-    """What one text shows: page numbers, candidate titles, cut words, and its whole words."""
+    """What one text shows: numbers that may be those of pages and candidate titles by line, cut words, and its whole words."""
     lines = _LINE.split(text)
     kinds, body = _shape(lines)
     prose = [i for i in body if _is_prose(lines[i])]
@@ -125,23 +128,23 @@ def examine(text: str) -> dict:
         after[i] = last
         if kinds[i] == "text":
             last = i
-    page, heads, furniture = False, [], set()
+    numbers, heads, furniture = [], [], set()
     for i, line in enumerate(lines):
         b, a = before[i], after[i]
         near_prose = (b is not None and _is_prose(lines[b])) or (a is not None and _is_prose(lines[a]))
         if kinds[i] == "page" and (prose or not body):
-            page = True
+            numbers.append((i, int(_PAGE.match(line.strip())[1]), False))
             furniture.add(i)
         elif kinds[i] == "bare":
             beside = [kinds[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
             if near_prose and "bare" not in beside:
-                page = True
+                numbers.append((i, int(line.strip()), True))
                 furniture.add(i)
         elif kinds[i] == "head":
             s = line.strip()
             inside = b is not None and a is not None and near_prose and not _ends(lines[b]) and lines[a].lstrip()[:1].islower()
             sure = bool(prose) and bool(_CHAPTER.match(s) or _EDITION.search(s) or (inside and len(s.split()) >= 3))
-            heads.append((head_key(s), inside, sure))
+            heads.append((i, head_key(s), inside, sure))
             furniture.add(i)
     cuts, spoiled = [], {}
     content = [i for i, k in enumerate(kinds) if k != "blank" and i not in furniture]
@@ -166,34 +169,27 @@ def examine(text: str) -> dict:
         words += [w for w in _TOKEN.findall(low) if len(w) > 1 or w in "!@"]
         if "-" in low or "‑" in low:
             words += _COMPOUND.findall(low)
-    return {"page": page, "heads": heads, "cuts": cuts, "words": words}
+    return {"numbers": numbers, "heads": heads, "cuts": cuts, "words": words}
 
 
 def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         seen = [examine(t) for t in pdf["text"]]
-        yield pdf[["src", "rec_id", "part"]].assign(**{k: [s[k] for s in seen] for k in ("page", "heads", "cuts", "words")})
+        yield pdf[["src", "rec_id", "part", "doc", "at"]].assign(**{k: [s[k] for s in seen] for k in ("numbers", "heads", "cuts", "words")})
 
 
 def _restored(word: str) -> list[tuple[str, int]]:
-    """(word with confused letters put back, how many times more frequent it must be)."""
-    if len(word) < 3 or len(word) > 40 or sum(c.isdigit() for c in word) > len(word) // 2:
+    """(word with confused letters put back, how many times more frequent it must be) for a word of letters."""
+    if not 3 <= len(word) <= LONGEST_WORD or any(c in SYMBOLS for c in word):
         return []
     out: dict[str, int] = {}
-    hit = [i for i, c in enumerate(word) if c in SYMBOLS]
-    if hit and any(c.isalpha() for c in word) and len(hit) <= 3:
-        forms = [word]
-        for i in hit:
-            forms = [f[:i] + c + f[i + 1 :] for f in forms for c in SYMBOLS[word[i]]]
-        out |= dict.fromkeys(forms, SYMBOL_RATIO)
-    elif not hit:
-        for read, printed in LETTERS.items():
-            ratio = USUAL_RATIO if read in PLAUSIBLE else RARE_RATIO
-            at = word.find(read)
-            while at >= 0:
-                form = word[:at] + printed + word[at + len(read) :]
-                out[form] = min(out.get(form, ratio), ratio)
-                at = word.find(read, at + 1)
+    for read, printed in LETTERS.items():
+        ratio = USUAL_RATIO if read in PLAUSIBLE else RARE_RATIO
+        at = word.find(read)
+        while at >= 0:
+            form = word[:at] + printed + word[at + len(read) :]
+            out[form] = min(out.get(form, ratio), ratio)
+            at = word.find(read, at + 1)
     return [(f, r) for f, r in out.items() if f != word]
 
 
@@ -204,29 +200,71 @@ def _restorations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _LONE_SYMBOL = r"^[a-z]{2,}[!@0156|][a-z]{2,}$"
+_SYMBOL_CLASS = "[" + re.escape("".join(SYMBOLS)) + "]"
+
+
+def _skeleton(word: Column) -> Column:
+    """The word with one letter for each symbol and for all letters that a symbol may stand for."""
+    return F.translate(word, "".join(SYMBOLS) + "l", "".join("i" if "i" in v else v for v in SYMBOLS.values()) + "i")
+
+
+def _symbols_restored(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, printed, m of the words with symbols that have the letters of a more frequent word, however many symbols."""
+    n_symbols = F.length(F.regexp_replace("word", f"[^{_SYMBOL_CLASS[1:-1]}]", ""))
+    digits = F.length(F.regexp_replace("word", "[^0-9]", ""))
+    odd = words.where(F.col("word").rlike(_SYMBOL_CLASS) & F.col("word").rlike(r"\p{L}") & (F.length("word") >= 3) & (digits <= F.floor(F.length("word") / 2))).select("word", "n", n_symbols.alias("symbols"), _skeleton(F.col("word")).alias("s"))
+    whole = vocabulary.where(~F.col("printed").rlike(_SYMBOL_CLASS)).select("printed", "m", _skeleton(F.col("printed")).alias("s"))
+    # letters that aren't symbols must agree, which makes the distance the number of symbols
+    return odd.join(whole, "s").where((F.col("m") >= SYMBOL_RATIO * F.col("n")) & (F.col("m") >= LEAST_REPEATS) & (F.levenshtein("word", "printed") == F.col("symbols"))).select("word", "printed", "m")
 
 
 def texts_of(chunks: DataFrame, rag: DataFrame) -> DataFrame:
-    """src, rec_id, part, text of every content and every context; nulls are left out."""
-    a = chunks.select(F.lit("document_chunks").alias("src"), F.col("chunk_id").alias("rec_id"), F.lit(0).alias("part"), F.col("content").alias("text"))
-    b = rag.select(F.lit("tier3_rag").alias("src"), F.col("id").alias("rec_id"), F.posexplode("reference_contexts").alias("part", "text"))
+    """src, rec_id, part, text, doc, at (its page) of every content and every context; nulls are left out."""
+    place = [F.col("doc_id").cast("string").alias("doc"), F.col("page").cast("int").alias("at")] if {"doc_id", "page"} <= set(chunks.columns) else [F.lit(None).cast("string").alias("doc"), F.lit(None).cast("int").alias("at")]
+    a = chunks.select(F.lit("document_chunks").alias("src"), F.col("chunk_id").alias("rec_id"), F.lit(0).alias("part"), F.col("content").alias("text"), *place)
+    b = rag.select(F.lit("tier3_rag").alias("src"), F.col("id").alias("rec_id"), F.posexplode("reference_contexts").alias("part", "text")).withColumns({"doc": F.lit(None).cast("string"), "at": F.lit(None).cast("int")})
     return a.unionByName(b).where("rec_id is not null and text is not null")
 
 
+def _in_sequence(numbers: DataFrame) -> DataFrame:
+    """The rows of ``numbers(.., doc, at, value, bare)`` that aren't bare numbers against their document's sequence.
+
+    Page numbers follow the pages at one distance. Where LEAST_SEQUENCE numbers of a document, and most of them, show
+    it, a bare number at another distance is a value of the text.
+    """
+    gap = F.col("value") - F.col("at")
+    by_gap = numbers.where("doc is not null and at is not null").groupBy("doc", gap.alias("gap")).agg(F.count("*").alias("n"))
+    shown = by_gap.groupBy("doc").agg(F.max_by("gap", F.struct("n", "gap")).alias("gap"), F.max("n").alias("most"), F.sum("n").alias("all")).where((F.col("most") >= LEAST_SEQUENCE) & (2 * F.col("most") > F.col("all"))).select("doc", "gap")
+    bare = numbers.where("bare and doc is not null and at is not null")
+    kept = bare.join(shown, "doc", "left").where(F.col("gap").isNull() | (gap == F.col("gap"))).select(*numbers.columns)
+    return numbers.where("not bare or doc is null or at is null").unionByName(kept)
+
+
+def _repeated(heads: DataFrame) -> DataFrame:
+    """key of the titles that repeat, also with one letter more, less or other than one that does."""
+    count = heads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("inside").cast("int")).alias("inside_n"), F.max("sure").alias("any_sure"))
+    often = (F.col("n") >= LEAST_REPEATS) & ((F.col("inside_n") >= 2) | F.col("any_sure"))
+    word = F.col("key")
+    shorter = F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+    forms = count.where(F.length("key") >= 8).select("key", often.alias("often"), F.explode(shorter).alias("form"))
+    near = forms.where("not often").select(F.col("key").alias("rare"), "form").join(forms.where("often").select("key", "form"), "form").where(F.levenshtein("rare", "key") <= 1).select(F.col("rare").alias("key"))
+    return count.where(often).select("key").unionByName(near).distinct()
+
+
 def evidence(texts: DataFrame) -> dict[str, DataFrame]:
-    """The decisions over the corpus, one table a kind: pages, heads, cuts and misread words of every text."""
-    seen = cut(texts.select("src", "rec_id", "part", "text").mapInPandas(_examined, SCAN))
+    """The decisions over the corpus, one table a kind: number lines, title lines, cuts and misread words of every text."""
+    seen = cut(texts.select("src", "rec_id", "part", "text", "doc", "at").mapInPandas(_examined, SCAN))
     key = ["src", "rec_id", "part"]
-    plain = seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    plain = cut(seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     cuts = seen.select(*key, F.explode("cuts").alias("c")).select(*key, "c.*")
-    plain = cut(plain)
     # words of cut lines count as words to be examined, but not as evidence of a spelling
     words = plain.unionByName(cuts.select(F.col("joined").alias("word")).distinct().join(plain, "word", "left_anti").withColumn("n", F.lit(1).cast("long")))
     vocabulary = plain.select(F.col("word").alias("printed"), F.col("n").alias("m"))
     fixes = (
         words.mapInPandas(_restorations, "word string, n long, printed string, ratio int")
         .join(vocabulary, "printed")
-        .where((F.col("m") >= F.col("ratio") * F.col("n")) & (F.col("m") >= 3))
+        .where((F.col("m") >= F.col("ratio") * F.col("n")) & (F.col("m") >= LEAST_REPEATS)).select("word", "printed", "m")
+        .unionByName(_symbols_restored(words, vocabulary))
         .groupBy("word").agg(F.max_by("printed", F.struct("m", "printed")).alias("printed"))
     )
     lone = words.where(F.col("word").rlike(_LONE_SYMBOL)).select("word").join(fixes, "word", "left_anti").select("word", F.lit(None).cast("string").alias("printed"))
@@ -243,10 +281,10 @@ def evidence(texts: DataFrame) -> dict[str, DataFrame]:
         .fillna(0, ["nj", "ns", "nf", "nr"])
     )
     own = F.col("hyphen") & (((F.col("ns") > 0) & (F.col("ns") >= F.col("nj"))) | ((F.col("ns") == 0) & (F.col("nj") == 0) & (F.col("nf") >= 5) & (F.col("nr") >= 5)))
-    heads = seen.select(*key, F.explode("heads").alias("h")).select(*key, "h.*")
-    repeated = heads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("inside").cast("int")).alias("inside_n"), F.max("sure").alias("any_sure")).where((F.col("n") >= LEAST_REPEATS) & ((F.col("inside_n") >= 2) | F.col("any_sure")))
-    titles = heads.join(repeated.select("key", F.lit(True).alias("repeated")), "key", "left").where(F.col("sure") | F.col("repeated"))
-    return {"page_number": seen.where("page").select(*key), "header": titles.select(*key, "key"), "hyphenation": judged.where(~own).select(*key, "joined", "spelled"), "misread": misread.select(*key, "word", "printed")}
+    numbers = _in_sequence(seen.select(*key, "doc", "at", F.inline("numbers")))
+    heads = seen.select(*key, F.inline("heads"))
+    titles = heads.join(_repeated(heads).withColumn("repeated", F.lit(True)), "key", "left").where(F.col("sure") | F.col("repeated"))
+    return {"page_number": numbers.select(*key, "line"), "header": titles.select(*key, "line"), "hyphenation": judged.where(~own).select(*key, "joined", "spelled"), "misread": misread.select(*key, "word", "printed")}
 
 
 def noise_found(texts: DataFrame) -> DataFrame:
@@ -258,23 +296,12 @@ def noise_found(texts: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def repair(text: str, heads: set[str], joins: set[str], fixes: dict[str, str]) -> str:
-    """The text as paragraphs: furniture dropped, cut words joined, misread words restored, lines of a paragraph joined.
+def repair(text: str, furniture: set[int], joins: set[str], fixes: dict[str, str]) -> str:
+    """The text as paragraphs: the lines of ``furniture`` dropped, cut words joined, misread words restored, lines of a paragraph joined.
 
     Lines of tables (short lines without prose around them, lines with bars) keep their breaks.
     """
-    lines = _LINE.split(text)
-    kinds, body = _shape(lines)
-    kept = []
-    for i, line in enumerate(lines):
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        if kinds[i] == "head" and head_key(line.strip()) in heads:
-            continue
-        if kinds[i] == "page" and any(_is_prose(lines[j]) for j in body):
-            continue
-        if kinds[i] == "bare" and not any(kinds[j] == "bare" for j in near) and any(_is_prose(lines[j]) for j in body):
-            continue
-        kept.append(line.rstrip())
+    kept = [line.rstrip() for i, line in enumerate(_LINE.split(text)) if i not in furniture]
     out: list[str] = []
     for line in kept:
         if not line.strip():
@@ -307,14 +334,14 @@ def repaired(texts: DataFrame) -> DataFrame:
     """src, rec_id, part, text of every text, repaired by the corpus's decisions. Blank texts stay as they are."""
     e = evidence(texts)
     key = ["src", "rec_id", "part"]
-    heads = e["header"].groupBy(*key).agg(F.collect_set("key").alias("heads"))
+    lines = e["header"].unionByName(e["page_number"]).groupBy(*key).agg(F.collect_set("line").alias("lines"))
     joins = e["hyphenation"].groupBy(*key).agg(F.collect_set("joined").alias("joins"))
     fixes = e["misread"].where("printed is not null").groupBy(*key).agg(F.collect_set(F.struct("word", "printed")).alias("fixes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_list = lambda x: [] if x is None else list(x)
         for pdf in batches:
-            done = [repair(t, set(as_list(h)), set(as_list(j)), {f["word"]: f["printed"] for f in as_list(x)}) for t, h, j, x in zip(pdf["text"], pdf["heads"], pdf["joins"], pdf["fixes"], strict=True)]
+            done = [repair(t, set(as_list(n)), set(as_list(j)), {f["word"]: f["printed"] for f in as_list(x)}) for t, n, j, x in zip(pdf["text"], pdf["lines"], pdf["joins"], pdf["fixes"], strict=True)]
             yield pdf[key].assign(text=done)
 
-    return texts.join(heads, key, "left").join(joins, key, "left").join(fixes, key, "left").mapInPandas(run, "src string, rec_id string, part int, text string")
+    return texts.select(*key, "text").join(lines, key, "left").join(joins, key, "left").join(fixes, key, "left").mapInPandas(run, "src string, rec_id string, part int, text string")

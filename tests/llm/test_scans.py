@@ -47,3 +47,32 @@ def test_repair_reads_as_paragraphs(spark):
 def test_empty_tables(spark):
     a, b = spark.createDataFrame([], CHUNK), spark.createDataFrame([], RAG)
     assert scans.noise_found(scans.texts_of(a, b)).count() == 0 and scans.repaired(scans.texts_of(a, b)).count() == 0
+
+
+def test_repair_removes_just_the_lines_that_are_reported(spark):
+    table = PROSE + "\nDose\n250\n300\nTaken daily"
+    rows = tables(spark, [table, "- 12 -", PROSE + "\n- 13 -\nand more is reported to the clinic."])
+    noise = {(r.rec_id, r.noise) for r in scans.noise_found(rows).collect()}
+    text = {r.rec_id: r.text for r in scans.repaired(rows).collect()}
+    assert noise == {("c1", "page_number"), ("c2", "page_number")}
+    assert "250" in text["c0"] and "300" in text["c0"] and text["c1"] == "" and "13" not in text["c2"]
+    assert all(t.split() == o.split() for t, o in ((text[f"f{i}"], PROSE * 3 + "Follow-up self-care advice is given after treatment within three percent of cases.") for i in range(12)))
+
+
+def test_many_symbols_and_long_words_are_restored(spark):
+    long = "dichlorodiphenyltrichloroethaneadministration"
+    got = found(spark, ["The " + "patient takes " + long + ". " for _ in range(70)] + ["The patient takes dichl0rodiphenyltr1chl0roethaneadm1nistrat1on.", "The patient takes dichlorodiphenyltrichloroethaneadrninistration."])
+    assert got == {"c70": {"misread"}, "c71": {"misread"}}
+
+
+def test_bare_numbers_against_the_sequence_of_their_document_stay(spark):
+    page = lambda i, n: (f"c{i}", f"The patient should measure the temperature every\n{n}\nmorning and report any change.", "x", "book", i)
+    a = spark.createDataFrame([page(i, i + 2) for i in range(1, 7)] + [page(7, 250)], CHUNK + ", doc_id string, page int")
+    texts = scans.texts_of(a, spark.createDataFrame([], RAG))
+    assert {r.rec_id for r in scans.noise_found(texts).collect()} == {f"c{i}" for i in range(1, 7)}
+
+
+def test_titles_repeat_with_a_slip(spark):
+    lines = ["Guide to Home Care"] * 4 + ["Guide to Homes Care"]
+    texts = [f"{PROSE.strip()}\n{t}\n{PROSE}" for t in lines] + ["The patient should measure the temperature every\nGuide to Home Care\nmorning and report any change to the clinic."]
+    assert {k for k, v in found(spark, texts).items() if "header" in v} == {f"c{i}" for i in range(6)}
