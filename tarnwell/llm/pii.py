@@ -1,23 +1,27 @@
 """Find personal information in free text and replace it.
 
 Every detected entity is replaced by a placeholder of its type, or by a surrogate: a keyed replacement of the
-same type, format and script. Number surrogates are a keyed permutation of the digits and letters, so distinct
-entities stay distinct; name surrogates are drawn word by word, so that a person keeps one name wherever parts
-of it are mentioned, and a collision check over all names gives colliding ones another draw.
+same type, format and script. All surrogates are keyed permutations, so distinct entities stay distinct, the same
+entity has one surrogate everywhere, in whatever order and number texts come, and nothing but the key is shared
+between tasks. Names become pronounceable words of the same script, of the gender that their ending tells and of
+bounded length; a surrogate that is itself a name in the corpus is drawn again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import cut
+
 TYPES = ["email", "phone", "id_number", "address", "name"]
 
 _AT = r"\s*(?:@|＠|\(at\)|\[at\]|\{at\}|<at>)\s*"
@@ -85,14 +89,36 @@ _LOWER_VALUE = re.compile(rf"^\s*((?!{_NO_PERSON}\b)[^\W\d_]{{2,}}(?:\s+[^\W\d_]
 _NUMBER_VALUE = re.compile(r"^\s*(\+?[\d(][\d\s().\-]{5,20}\d)\s*$")
 
 
+#: Strings of which a text in small letters holds one if the pattern can match; a cheap test before it.
+_CUES = {
+    ID_NUMBER: ("ssn", "social", "passp", "pasap", "reisep", "id", "licen", "insur", "polic", "member", "record", "mrn", "nhs", "health", "patient", "nino", "tax", "nie", "dni", "nummer", "num"),
+    ADDRESS: ("box", "postfach", "apartado", "boîte", *(x.lower() for x in _STREET.split("|")), "rue", "av", "bd", "chemin", "allée", "impasse", "calle", "plaza", "paseo", "camino", "via", "piazza", "weg", "stra", "str.", "gasse", "allee", "platz", "ring", "damm", "ufer", "chaussee"),
+    ADDRESS_LOWER: ("street", "road", "lane", "avenue", "terrace", "drive", "close", "crescent", "boulevard", "weg", "strasse", "gasse", "allee", "platz"),
+    CALLED: ("tel", "phone", "mobile", "cell", "fax", "call", "ring", "text", "whatsapp", "reach", "number is", "tél", "handy"),
+    NAMES[0]: ("name", "called", "call me", "patient:", "contact:", "client:", "ich hei", "llamo", "nombre", "appelle", "nom est"),
+    NAMES[1]: ("mr", "ms ", "ms.", "ms\t", "ms\n", "miss", "mx", "herr", "frau", "señor", "sra", "sr", "mme", "monsieur", "madame"),
+    NAMES[2]: ("regards", "signed", "sincerely", "yours", "best", "cheers", "thank", "dear", "hello", "hi", "hey", "greetings", "from", "cc", "attn"),
+    NAMES[3]: ("regards", "signed", "sincerely", "yours", "best wishes", "dear", "hello", "hi", "thank you"),
+    NAMES[4]: ("my ", "our ", "his ", "her ", "their "),
+    NAMES[5]: ("this is", "i am", "i'm", "i’m", "it is", "speaking is", "belongs to", "on behalf of", "ask for", "care of"),
+    NAMES[6]: ("here", "speaking", "writing", "calling"),
+}
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d.*\d.*\d", re.S)
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]")
+_SPOKEN_AT = re.compile(r"(?i)[(\[{<]at[)\]}>]| dot ")
+
+
 def find_entities(text: str | None, key: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities of a text, in order, without overlap.
 
     ``key`` is what a fact is filed under; under ``name`` a value that is just a name needs no context.
     """
-    if not text or not (key or re.search(r"[\d@＠A-ZÀ-ÞА-ЯΑ-Ω]| at | dot ", text)):
+    if not text:
         return []
-    found: list[tuple[int, int, str]] = []
+    digit, capital = _DIGIT.search(text) is not None, _CAPITAL.search(text) is not None
+    if not (key or digit or capital or "@" in text or "＠" in text or " at " in text or " dot " in text):
+        return []
+    low, found = text.lower(), []
 
     def add(start: int, end: int, kind: str) -> None:
         while end > start and text[end - 1] in " \t\n.,;:":
@@ -100,44 +126,61 @@ def find_entities(text: str | None, key: str | None = None) -> list[tuple[int, i
         if end > start and not any(s < end and start < e for s, e, _ in found):
             found.append((start, end, kind))
 
-    has_digit = any(c.isdigit() for c in text)
-    if "@" in text or "＠" in text or re.search(r"(?i)[(\[{<]at[)\]}>]| dot ", text):
+    def matches(rx: re.Pattern):
+        return rx.finditer(text) if any(c in low for c in _CUES[rx]) else ()
+
+    def long(number: str, least: int) -> bool:
+        return least <= sum(c.isdigit() for c in number) <= 15
+
+    if "@" in text or "＠" in text or _SPOKEN_AT.search(text):
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
-    if has_digit:
-        for m in ID_NUMBER.finditer(text):
-            if sum(c.isdigit() for c in m[1]) >= 4:
-                add(m.start(1), m.end(1), "id_number")
-        for m in BARE_SSN.finditer(text):
-            add(m.start(), m.end(), "id_number")
+    if digit:
+        many = _DIGITS.search(text) is not None
+        if many:
+            for m in matches(ID_NUMBER):
+                if sum(c.isdigit() for c in m[1]) >= 4:
+                    add(m.start(1), m.end(1), "id_number")
+            if "-" in text:
+                for m in BARE_SSN.finditer(text):
+                    add(m.start(), m.end(), "id_number")
         for rx in (ADDRESS, ADDRESS_LOWER):
-            for m in rx.finditer(text):
+            for m in matches(rx):
                 add(m.start(), m.end(), "address")
-        for m in PHONE.finditer(text):
-            if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-                add(m.start(), m.end(), "phone")
-        for m in CALLED.finditer(text):
-            if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
-                add(m.start(1), m.end(1), "phone")
-    for rx in NAMES:
-        for m in rx.finditer(text):
-            add(m.start(1), m.end(1), "name")
+        if many:
+            for m in PHONE.finditer(text):
+                if long(m[0], 7):
+                    add(m.start(), m.end(), "phone")
+            for m in matches(CALLED):
+                if long(m[1], 7):
+                    add(m.start(1), m.end(1), "phone")
+    if capital:
+        for rx in NAMES:
+            for m in matches(rx):
+                add(m.start(1), m.end(1), "name")
     filed = (key or "").strip().lower()
     if filed in ("name", "full_name", "full name", "patient_name") and (m := _PERSON_VALUE.match(text) or _LOWER_VALUE.match(text)):
         add(m.start(1), m.end(1), "name")
-    if filed in ("contact", "phone", "mobile", "telephone", "tel") and (m := _NUMBER_VALUE.match(text)) and 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+    if filed in ("contact", "phone", "mobile", "telephone", "tel") and (m := _NUMBER_VALUE.match(text)) and long(m[1], 7):
         add(m.start(1), m.end(1), "phone")
     return sorted(found)
 
 
-# Made-up given names by gender, and syllables for surnames of each script.
-GIVEN = {"f": "Alda Berit Celia Dalia Edda Freja Gilda Hedda Ilsa Jorun Kaja Livia Malin Nerea Odile Paloma Runa Signe Talia Ulla Vesna Wilma Yrsa Zita".split(), "m": "Alrik Bruno Cyril Darko Edvin Folke Gorm Hakon Ivar Jarl Knut Leif Matteo Nils Orso Pelle Ragnar Sven Tiago Ulrik Vidar Wim Yannick Zoran".split()}
-SYLLABLES = {"latin": "bar cor den fal gor hal jen kel lor mar nor pel ros sal tor ven wal zel".split(), "cyrillic": "бар кор ден фал гор лор мар нор рос сал тор вен зел".split(), "greek": "βαρ κορ δεν φαλ γορ λορ μαρ νορ ροσ σαλ τορ βεν ζελ".split()}
+# Consonants, vowels, the vowels that mark a word with accents, and the endings of women's and other names.
+SOUNDS = {
+    "latin": ("bdfgklmnprstvz", "aeiou", "áéíóú", ("a", "ia", "ea", "ua"), ("n", "r", "s", "l")),
+    "greek": ("βδφγκλμνπρστζξ", "αειου", "άέίόύ", ("α", "ια", "εα", "υα"), ("ν", "ρ", "ς", "λ")),
+    "cyrillic": ("бдфгклмнпрствз", "аеиоу", "яёїюэ", ("а", "иа", "еа", "уа"), ("н", "р", "с", "л")),
+}
+PARTICLES = frozenset("de del des du la le les el los las di della da dos van von der den bin al ben ter y und".split())
 _FEMALE_END = re.compile(r"[aáàеаяηα]$", re.I)
+DRAWS = 4
 
 
-def _keyed(key: bytes, *parts: str) -> int:
-    return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:16], "big")
+def _keyed(key: bytes, bits: int, *parts: str) -> int:
+    """``bits`` pseudorandom bits of the parts under a key."""
+    h = hashlib.shake_256(len(key).to_bytes(4, "big") + key + "\x1f".join(parts).encode("utf-8", "surrogatepass"))
+    return int.from_bytes(h.digest((bits + 7) // 8), "big") & ((1 << bits) - 1)
 
 
 def _feistel(n: int, size: int, key: bytes, label: str) -> int:
@@ -147,53 +190,171 @@ def _feistel(n: int, size: int, key: bytes, label: str) -> int:
     while True:
         left, right = n >> half, n & mask
         for r in range(6):
-            left, right = right, left ^ (_keyed(key, label, str(r), str(right)) & mask)
+            left, right = right, left ^ _keyed(key, half, label, str(r), str(right))
         n = (left << half) | right
         if n < size:
             return n
 
 
-def scrambled(text: str, key: bytes, kind: str) -> str:
-    """The characters of a number or address permuted within their kind, format kept; distinct inputs stay distinct."""
-    places = [(i, 10 if c.isdigit() else 26) for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-    shape = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text)
+@lru_cache(maxsize=1024)
+def _small_letters(block: int) -> str:
+    """The small letters among 256 code points, those without case included."""
+    return "".join(c for c in map(chr, range(block << 8, (block + 1) << 8)) if c.isalpha() and c.lower() == c and len(c.upper()) == 1)
+
+
+@lru_cache(maxsize=65536)
+def _kind(c: str) -> tuple[str, str] | None:
+    """(name, alphabet) of what may stand for a character; None if it stays."""
+    if c.isascii():
+        return ("9", "0123456789") if c.isdigit() else ("a", "abcdefghijklmnopqrstuvwxyz") if c.isalpha() else None
+    if c.isdigit() and len(c) == 1 and unicodedata.category(c) == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return f"9{zero:x}", "".join(map(chr, range(zero, zero + 10)))
+    low = c.lower()
+    if len(low) == 1 and low in (letters := _small_letters(ord(low) >> 8)):
+        return f"a{ord(low) >> 8:x}", letters
+    return ("ss", "ßŉǰΐΰ") if c in "ßŉǰΐΰ" else None
+
+
+def scrambled(text: str, key: bytes, kind: str, keep: int = 0) -> str:
+    """The characters of a number or a word permuted within their alphabets, but for the first ``keep`` of them.
+
+    Format and case are kept, and distinct inputs stay distinct. Marks between the characters don't count, so one
+    number written in two ways has one surrogate in those two ways.
+    """
+    places = [(i, k) for i, k in enumerate(map(_kind, text)) if k][keep:]
     n, size = 0, 1
-    for i, base in places:
-        n, size = n * base + (int(text[i]) if base == 10 else ord(text[i].lower()) - 97), size * base
-    n = _feistel(n, size, key, f"{kind}\x1f{shape}") if places else 0
+    for i, (_, letters) in places:
+        n, size = n * len(letters) + letters.index(text[i].lower() if text[i].lower() in letters else text[i]), size * len(letters)
+    if not places:
+        return text
+    n = _feistel(n, size, key, "\x1f".join([kind, *(name for _, (name, _) in places)]))
     out = list(text)
-    for i, base in reversed(places):
-        n, x = divmod(n, base)
-        out[i] = str(x) if base == 10 else chr((65 if text[i].isupper() else 97) + x)
+    for i, (_, letters) in reversed(places):
+        n, x = divmod(n, len(letters))
+        out[i] = letters[x].upper() if text[i].isupper() else letters[x]
     return "".join(out)
 
 
-def name_word(word: str, given: bool, attempt: int, key: bytes) -> str:
-    """The surrogate of one word of a name: a given name of like gender, or a made-up surname in the word's script."""
-    h = _keyed(key, "name", word.lower(), str(attempt))
-    script = "cyrillic" if re.search("[А-Яа-я]", word) else "greek" if re.search("[Α-Ωα-ω]", word) else "latin"
-    if given and script == "latin" and attempt == 0:
-        names = GIVEN["f" if _FEMALE_END.search(word) else "m"]
-        return names[h % len(names)]
-    table, out = SYLLABLES[script], ""
-    for _ in range(3 + attempt):
-        h, x = divmod(h, len(table))
-        out += table[x]
-    return out.capitalize()
+@lru_cache(maxsize=8)
+def _alphabets(script: str) -> list[str]:
+    """Alphabets of a script, each holding the one before."""
+    if script == "latin":
+        ascii_ = "abcdefghijklmnopqrstuvwxyz"
+        western = ascii_ + _small_letters(0).replace(ascii_, "") + "ß"
+        return [ascii_, western, western + _small_letters(1) + _small_letters(2) + "ŉǰ"]
+    return [_small_letters(3) + "ΐΰ"] if script == "greek" else ["абвгдежзийклмнопрстуфхцчшщъыьэюяё", _small_letters(4)]
+
+
+def _script(word: str) -> str | None:
+    blocks = {ord(c) >> 8 for c in word}
+    return "latin" if blocks <= {0, 1, 2} else "greek" if blocks <= {3} else "cyrillic" if blocks <= {4} else None
 
 
-_NAME_WORD = re.compile(r"[^\W\d_]{2,}")
+@lru_cache(maxsize=200_000)
+def name_word(word: str, key: bytes, draw: int = 0) -> str:
+    """The surrogate, in small letters, of one word of a name: pronounceable, of its script and gender.
+
+    The word is numbered among all strings of its length, the number permuted by the key and spelled in syllables, so
+    two words never share a surrogate and its length is bounded by that of the word. ``draw`` chooses another one.
+    """
+    low = unicodedata.normalize("NFC", word.lower())
+    script = _script(low)
+    level = next((i for i, letters in enumerate(_alphabets(script)) if all(c in letters for c in low)), None) if script and len(low) > 1 else None
+    if level is None:
+        return scrambled(low, key, f"word{draw}")
+    consonants, vowels, marked, female, other = SOUNDS[script]
+    alphabet = _alphabets(script)[level]
+    base, n = len(alphabet), 0
+    for c in low:
+        n = n * base + alphabet.index(c)
+    n = _feistel(n, base ** len(low), key, f"name\x1f{script}\x1f{level}\x1f{len(low)}\x1f{draw}") + sum(base**k for k in range(1, len(low))) + 1
+    syllables = []
+    while n > 0:
+        n, x = divmod(n - 1, len(consonants) * len(vowels))
+        syllables.append(consonants[x // len(vowels)] + vowels[x % len(vowels)])
+    if level > len(syllables):
+        return scrambled(low, key, f"word{draw}")
+    accented = [x[0] + marked[vowels.index(x[1])] for x in syllables[:level]]  # so words of different alphabets stay apart
+    return "".join([*accented, *syllables[level:], (female if _FEMALE_END.search(low) else other)[draw % DRAWS]])
+
+
+def _cased(new: str, like: str) -> str:
+    return new.upper() if len(like) > 1 and like.isupper() else new.capitalize() if like[:1].isupper() else new
+
+
+_NAME_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+|\d+")
+_STREET_WORD = re.compile(rf"(?:{_STREET}|P\.?O|Box|Post(?:al|fach)?|Office|Flat|Apt|Apartment|Unit|Suite|Room|No|Rue|Av|Bd|Chemin|Allée|Impasse|Route|Calle|Avenida|Avda|Plaza|Paseo|Camino|Via|Viale|Piazza|Apartado|Correos|Boîte|Postale|Bis|In)", re.I)
+_STREET_END = re.compile(r"(.+?)(weg|straße|strasse|str|gasse|allee|platz|ring|damm|ufer|chaussee)", re.I)
+
+
+def surrogate(text: str, kind: str, key: bytes, draws: dict[str, int] | None = None) -> str:
+    """The surrogate of one entity; ``draws`` has the words whose first surrogate is a name of the corpus.
+
+    Letters and digits change within their script, marks stay. Names and the letters of e-mail addresses go through the
+    same words, so a person's address still resembles the name. E-mail domains stay apart and end in a reserved one.
+    Streets keep their kind, phone numbers their first digit.
+    """
+    draws = draws or {}
+
+    def word(w: str) -> str:
+        low = w.lower()
+        return w if low in PARTICLES else _cased(name_word(low, key, draws.get(low, 0)), w)
 
+    def run(w: str) -> str:
+        return scrambled(w, key, kind) if w[0].isdigit() else word(w)
 
-def with_entities(texts: DataFrame) -> DataFrame:
-    """src, rec_id, text, entities of each row of ``texts(src, rec_id, fact_key, text)``. Null texts have none."""
+    if kind == "name":
+        return _NAME_WORD.sub(lambda m: word(m[0]), text)
+    if kind == "email":
+        parts = re.split(rf"({_AT}|\s+at\s+)", text, maxsplit=1, flags=re.I)
+        user, sep, domain = parts if len(parts) == 3 else (text, "@", "")
+        labels = re.split(rf"({_DOT}|\s+dot\s+)", domain, flags=re.I)
+        spelled = "".join(x if i % 2 or i == len(labels) - 1 else _RUN.sub(lambda m: run(m[0]), x) for i, x in enumerate(labels))
+        return _RUN.sub(lambda m: run(m[0]), user) + sep + spelled + (labels[-2] if len(labels) > 1 else ".") + "example"
+    if kind == "address":
+
+        def part(m: re.Match) -> str:
+            w = m[0]
+            if w in ("P", "O", "p", "o") or _STREET_WORD.fullmatch(w):
+                return w
+            if w[0].isdigit() or len(w) == 1:
+                return scrambled(w, key, kind)
+            end = _STREET_END.fullmatch(w)
+            return word(end[1]) + end[2] if end else word(w)
+
+        return _RUN.sub(part, text)
+    return scrambled(text, key, kind, keep=1 if kind == "phone" else 0)
+
+
+ENTITIES = "array<struct<start:int,end:int,type:string,text:string,surrogate:string>>"
+
+
+def with_entities(texts: DataFrame, key: str | None = None) -> DataFrame:
+    """src, rec_id, text, entities of each row of ``texts(src, rec_id, fact_key, text)``. Null texts have none.
+
+    With a ``key`` every entity has its surrogate. Equal texts of a batch are read once.
+    """
+    secret = None if key is None else key.encode()
+
+    def of(text: str, filed: str | None) -> list[tuple]:
+        return [(s, e, k, text[s:e], None if secret is None else surrogate(text[s:e], k, secret)) for s, e, k in find_entities(text, filed)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [[(s, e, k, t[s:e]) for s, e, k in find_entities(t, f)] if isinstance(t, str) else [] for t, f in zip(pdf["text"], pdf["fact_key"], strict=True)]
+            known: dict = {}
+            found = []
+            for t, f in zip(pdf["text"], pdf["fact_key"], strict=True):
+                if not isinstance(t, str):
+                    found.append([])
+                    continue
+                if (t, f) not in known:
+                    known[t, f] = of(t, f if isinstance(f, str) else None)
+                found.append(known[t, f])
             yield pdf[["src", "rec_id", "text"]].assign(entities=found)
 
-    return texts.select("src", "rec_id", "fact_key", "text").mapInPandas(run, "src string, rec_id long, text string, entities array<struct<start:int,end:int,type:string,text:string>>")
+    return texts.select("src", "rec_id", "fact_key", "text").mapInPandas(run, f"src string, rec_id long, text string, entities {ENTITIES}")
 
 
 def texts_of(messages: DataFrame, facts: DataFrame) -> DataFrame:
@@ -203,9 +364,13 @@ def texts_of(messages: DataFrame, facts: DataFrame) -> DataFrame:
     return a.unionByName(b).where("rec_id is not null")
 
 
-def pii_found(texts: DataFrame) -> DataFrame:
-    """src, rec_id, pii_type: one row for each record and type in it."""
-    return with_entities(texts.where("text is not null")).select("src", "rec_id", F.explode(F.array_distinct(F.transform("entities", lambda e: e["type"]))).alias("pii_type"))
+def pii_found(texts: DataFrame, key: str | None = None) -> DataFrame:
+    """src, rec_id, pii_type: one row for each record and type of which something in it is replaced by a surrogate.
+
+    Without a ``key`` a new one is drawn; which rows come out doesn't depend on it.
+    """
+    replaced = F.filter("entities", lambda e: e["surrogate"].isNotNull())
+    return with_entities(texts.where("text is not null"), key or secrets.token_hex(16)).select("src", "rec_id", F.explode(F.array_distinct(F.transform(replaced, lambda e: e["type"]))).alias("pii_type"))
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -213,7 +378,7 @@ def redacted(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["src", "rec_id"]].assign(text=[_replaced(t, [(s, e, f"[{k.upper()}]") for s, e, k in find_entities(t, f)]) if isinstance(t, str) else None for t, f in zip(pdf["text"], pdf["fact_key"], strict=True)])
+            yield pdf[["src", "rec_id"]].assign(text=[_replaced(t, [(s, e, f"[{k.upper()}]") for s, e, k in find_entities(t, f if isinstance(f, str) else None)]) if isinstance(t, str) else None for t, f in zip(pdf["text"], pdf["fact_key"], strict=True)])
 
     return texts.select("src", "rec_id", "fact_key", "text").mapInPandas(run, "src string, rec_id long, text string")
 
@@ -224,51 +389,44 @@ def _replaced(text: str, parts: list[tuple[int, int, str]]) -> str:
     return text
 
 
-def name_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """word, surrogate of each distinct word of the names; colliding words get further draws, by their order."""
-    secret = key.encode()
-    words = entities.select(F.explode(F.filter("entities", lambda e: e["type"] == "name")).alias("e")).select(F.col("e.text").alias("name"))
-    words = words.select(F.posexplode(F.regexp_extract_all("name", F.lit(r"([\p{L}]{2,})"), 1)).alias("pos", "word")).groupBy(F.lower("word").alias("word")).agg((F.min("pos") == 0).alias("given"))
+def _words(entities: DataFrame) -> DataFrame:
+    """src, rec_id, word of the words that name surrogates are made of."""
+    worded = F.filter("entities", lambda e: e["type"].isin("name", "email", "address"))
+    return entities.select("src", "rec_id", F.explode(worded).alias("e")).select("src", "rec_id", F.explode(F.regexp_extract_all(F.lower("e.text"), F.lit(r"(\p{L}{2,})"), 1)).alias("word"))
+
 
-    def drawn(attempt: str):
-        @F.pandas_udf("string")
-        def draw(word: pd.Series, given: pd.Series, n: pd.Series) -> pd.Series:
-            return pd.Series([name_word(w, bool(g), int(a), secret) for w, g, a in zip(word, given, n, strict=True)], dtype=object)
+def redraws(entities: DataFrame, key: str) -> DataFrame:
+    """word, draw of the words whose first surrogate is itself such a word of the corpus: their first draw that isn't."""
+    secret = key.encode()
+    real = _words(entities).select("word").distinct()
 
-        return draw("word", "given", F.col(attempt))
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(w, d, name_word(w, secret, d)) for w, first in zip(pdf["word"], pdf["first"], strict=True) for d in range(first, DRAWS if first else 1)]
+            yield pd.DataFrame(rows, columns=["word", "draw", "drawn"])
 
-    first = words.withColumn("a", F.lit(0)).withColumn("surrogate", drawn("a"))
-    again = F.row_number().over(W.partitionBy("surrogate").orderBy("word")) - 1
-    second = first.withColumn("b", again.cast("int")).withColumn("surrogate", F.when(F.col("b") == 0, F.col("surrogate")).otherwise(drawn("b")))
-    # what still collides takes its own number as a suffix of the word
-    last = F.row_number().over(W.partitionBy("surrogate").orderBy("b", "word"))
-    return second.withColumn("c", last).select("word", F.when(F.col("c") == 1, F.col("surrogate")).otherwise(F.concat("surrogate", F.lit("-"), F.col("c").cast("string"))).alias("surrogate"))
+    draw = lambda words, first: words.withColumn("first", F.lit(first)).mapInPandas(drawn, "word string, draw int, drawn string")
+    clash = draw(real, 0).join(real.withColumnRenamed("word", "drawn"), "drawn", "left_semi").select("word")
+    free = draw(clash, 1).join(real.withColumnRenamed("word", "drawn"), "drawn", "left_anti")
+    return free.groupBy("word").agg(F.min("draw").alias("draw"))
 
 
 def with_surrogates(texts: DataFrame, key: str) -> DataFrame:
-    """src, rec_id, text with each entity replaced by a keyed surrogate of its type; the same entity keeps one surrogate."""
+    """src, rec_id, text with each entity replaced by its surrogate under ``key``; the same entity keeps one surrogate.
+
+    Only words whose surrogate is a word of a name in the corpus need another one, so few records are joined with draws.
+    Records with a null text are left out.
+    """
     secret = key.encode()
-    found = with_entities(texts.where("text is not null"))
-    table = name_surrogates(found, key)
-    words = found.select("src", "rec_id", F.explode(F.filter("entities", lambda e: e["type"] == "name")).alias("e")).select("src", "rec_id", F.explode(F.regexp_extract_all(F.lower("e.text"), F.lit(r"([\p{L}]{2,})"), 1)).alias("word")).distinct()
-    maps = words.join(table, "word").groupBy("src", "rec_id").agg(F.collect_list(F.struct("word", "surrogate")).alias("names"))
+    found = cut(with_entities(texts.where("text is not null"), key))
+    again = _words(found).distinct().join(redraws(found, key), "word").groupBy("src", "rec_id").agg(F.collect_list(F.struct("word", "draw")).alias("draws"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, entities, names in zip(pdf["text"], pdf["entities"], pdf["names"], strict=True):
-                table = {} if names is None else {n["word"]: n["surrogate"] for n in names}
-                parts = []
-                for e in entities:
-                    if e["type"] == "name":
-                        new = _NAME_WORD.sub(lambda m, table=table: table.get(m[0].lower(), m[0]), e["text"])
-                    elif e["type"] == "email":
-                        user, sep, _ = re.split(r"(@| at |\(at\)|\[at\])", e["text"], maxsplit=1)[:3] if re.search(r"@| at |\(at\)|\[at\]", e["text"]) else (e["text"], "@", "")
-                        new = scrambled(user, secret, "email") + sep + "mail.invalid"
-                    else:
-                        new = scrambled(e["text"], secret, e["type"])
-                    parts.append((e["start"], e["end"], new))
-                out.append(_replaced(text, parts))
+            for text, entities, draws in zip(pdf["text"], pdf["entities"], pdf["draws"], strict=True):
+                other = {} if draws is None else {d["word"]: d["draw"] for d in draws}
+                out.append(_replaced(text, [(e["start"], e["end"], surrogate(e["text"], e["type"], secret, other) if other else e["surrogate"]) for e in entities]))
             yield pdf[["src", "rec_id"]].assign(text=out)
 
-    return found.join(maps, ["src", "rec_id"], "left").mapInPandas(run, "src string, rec_id long, text string")
+    return found.join(again, ["src", "rec_id"], "left").mapInPandas(run, "src string, rec_id long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,16 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(records, overlap.cross_split_pairs(records))
 
 
+def _surrogate_key(spark: SparkSession) -> str:
+    """The session's key of surrogates, one of its own if none is set."""
+    name = "spark.tarnwell.surrogateKey"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(16))
+    return spark.conf.get(name)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.pii_found(pii.texts_of(table(spark, d, "messages"), table(spark, d, "user_facts")))
+    return pii.pii_found(pii.texts_of(table(spark, d, "messages"), table(spark, d, "user_facts")), _surrogate_key(spark))
 
 
 def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +71,7 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.with_surrogates(pii.texts_of(table(spark, d, "messages"), table(spark, d, "user_facts")), key="change-me")
+    return pii.with_surrogates(pii.texts_of(table(spark, d, "messages"), table(spark, d, "user_facts")), _surrogate_key(spark))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -57,3 +57,40 @@ def test_scrambling_is_a_permutation():
 
 def test_very_long_text():
     assert types("x" * 300_000 + " a@b.example") == {"email"} and types("Aa " * 20_000) == set() and types("1 " * 50_000) is not None
+
+
+def test_name_words_are_distinct_bounded_and_keep_script_and_gender():
+    import random
+
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéł") for _ in range(rng.randint(2, 11))) for _ in range(20_000)}
+    out = {w: pii.name_word(w, b"k") for w in words}
+    assert len(set(out.values())) == len(words) and all(len(v) <= 3 * len(w) + 6 for w, v in out.items())
+    assert all((w[-1] in "aá") == v.endswith("a") for w, v in out.items())
+    assert all("а" <= c <= "я" or c == "ё" for c in pii.name_word("иванова", b"k")) and pii.surrogate("Γιώργος", "name", b"k").isalpha()
+
+
+def test_surrogates_keep_domains_streets_and_formats():
+    s = lambda t, k: pii.surrogate(t, k, b"k")
+    a, b = s("anna@a.org", "email"), s("anna@b.org", "email")
+    assert a != b and a.split("@")[0] == b.split("@")[0] == pii.name_word("anna", b"k") and a.endswith(".example")
+    assert s("12 Oak Street", "address").endswith(" Street") and "Oak" not in s("12 Oak Street", "address")
+    assert s("Bergstraße 4", "address").split()[0].endswith("straße") and "Berg" not in s("Bergstraße 4", "address")
+    assert "".join(c for c in s("+44 7700 900 324", "phone") if c.isdigit()) == s("+447700900324", "phone")[1:]
+    assert s("Jürgen Groß", "name").isascii() is False and len({s(x, "name") for x in ("Jurgen", "Jürgen", "JÜRGEN")}) == 3
+
+
+def test_surrogates_stay_when_rows_are_added_unless_they_become_real_names(spark):
+    first = pii.surrogate("Anna", "name", b"k")
+    rows = [("m", 1, None, "My name is Anna Keller and", "x")]
+    one = pii.with_surrogates(spark.createDataFrame(rows, SCHEMA), "k").first().text
+    more = rows + [("m", i, None, f"My name is Lena Vask{chr(97 + i % 26)}{chr(97 + i // 26)} and", "x") for i in range(2, 60)]
+    got = {r.rec_id: r.text for r in pii.with_surrogates(spark.createDataFrame(more, SCHEMA), "k").collect()}
+    assert got[1] == one and first in one and len(got) == 59
+    clash = {r.rec_id: r.text for r in pii.with_surrogates(spark.createDataFrame([*rows, ("m", 2, None, f"My name is {first} Otto and", "x")], SCHEMA), "k").collect()}
+    assert first not in clash[1] and clash[1].split()[3].endswith("a") and first not in clash[2]
+
+
+def test_cues_lose_nothing():
+    for rx, cues in pii._CUES.items():
+        assert cues and all(c == c.lower() for c in cues), rx
