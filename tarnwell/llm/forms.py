@@ -46,6 +46,8 @@ def _decomposing() -> dict[int, str | None]:
     for cp in range(sys.maxunicode + 1):
         ch = chr(cp)
         kind = unicodedata.category(ch)
+        if ch == " ":
+            continue
         if ch.isspace() or kind in ("Zs", "Zl", "Zp"):
             table[cp] = " "
         elif kind in ("Cf", "Cc"):
@@ -68,15 +70,23 @@ def _look_alikes() -> dict[int, str]:
     return table
 
 
+def _mapped(text: str, table: dict[int, str | None]) -> str:
+    """``str.translate``, by the few distinct characters that change. What a table gives is never changed by it again."""
+    for c in set(text):
+        if (cp := ord(c)) in table:
+            text = text.replace(c, table[cp] or "")
+    return text
+
+
 def one_form(text: str | None, fold_case: bool = False) -> str | None:
     """The form of a text; null stays null, a text without a visible character becomes empty."""
     if text is None:
         return None
     if not text.isascii():
-        text = unicodedata.normalize("NFD", text.translate(_decomposing()))
-        text = unicodedata.normalize("NFC", text.translate(_look_alikes()))
+        text = unicodedata.normalize("NFD", _mapped(text, _decomposing()))
+        text = unicodedata.normalize("NFC", _mapped(text, _look_alikes()))
     elif not text.isprintable():
-        text = text.translate(_decomposing())
+        text = _mapped(text, _decomposing())
     text = _SPACE.sub(" ", text).strip()
     return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
 

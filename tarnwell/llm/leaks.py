@@ -27,11 +27,12 @@ LEAST_TILE = 2  # words of the shortest tile
 LEAST_SHARE = 0.5  # of an item's words
 LEAST_PASSAGE = 6  # words of the shortest passage that counts
 SLIP_WORDS = 3  # words of the longest stretch that a slip may spoil
+SLIP_EVERY = 8  # words between slips of a copy; with slips at half that distance half of its seeds are lost
 BLOCK_CHARS = 4_000_000  # characters of items broadcast at a time
 
 _WORD = re.compile(r"[^\W_]+")
-_MOD = (1 << 61) - 1
-_BASE = 1_000_003
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,49 +40,49 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(one_form(text, fold_case=True) or "")
 
 
-def _rolling(ids: list[int], n: int) -> list[int]:
-    """Karp-Rabin hashes of all windows of n."""
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base)], dtype=np.uint64)[:n]
+
+
+def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes, modulo 2 to the 64, of all windows of n, from running sums."""
     if len(ids) < n:
-        return []
-    h, top, out = 0, pow(_BASE, n - 1, _MOD), []
-    for i, x in enumerate(ids):
-        if i >= n:
-            h = (h - ids[i - n] * top) % _MOD
-        h = (h * _BASE + x) % _MOD
-        if i >= n - 1:
-            out.append(h)
-    return out
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum((ids + 2).astype(np.uint64) * _powers(_BASE, len(ids)), dtype=np.uint64)]
+    return (sums[n:] - sums[:-n]) * _powers(_INVERSE, len(ids) - n + 1)
+
+
+def _free(taken: np.ndarray, n: int) -> np.ndarray:
+    """Whether each window of n has no taken place."""
+    sums = np.r_[0, np.cumsum(taken)]
+    return sums[n:] == sums[:-n]
 
 
 def tiles(item: list[int], doc: list[int], least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the greedy tiles, longest first. Negative ids never match."""
-    used_i, used_d = [False] * len(item), [x < 0 for x in doc]
-    shared = set(item)
-    used_d = [u or x not in shared for u, x in zip(used_d, doc, strict=True)]
+    a, b = np.asarray(item, dtype=np.int64), np.asarray(doc, dtype=np.int64)
+    used_a, used_b = np.zeros(len(a), dtype=bool), ~np.isin(b, a) | (b < 0)
     found: list[tuple[int, int, int]] = []
-    n = max(least, min(len(item), 32))
+    n = max(least, min(len(a), 32))
     while n >= least:
-        at = defaultdict(list)
-        for i, h in enumerate(_rolling(item, n)):
-            if not any(used_i[i : i + n]):
-                at[h].append(i)
-        longest, matches = 0, []
-        if at:
-            for d, h in enumerate(_rolling(doc, n)):
-                for i in at.get(h, ()):
-                    if any(used_d[d : d + n]) or item[i : i + n] != doc[d : d + n]:
-                        continue
-                    k = n
-                    while i + k < len(item) and d + k < len(doc) and not used_i[i + k] and not used_d[d + k] and item[i + k] == doc[d + k]:
-                        k += 1
-                    longest = max(longest, k)
-                    matches.append((k, i, d))
+        at_a, at_b = (np.flatnonzero(_free(u, n)) if len(u) >= n else np.zeros(0, np.int64) for u in (used_a, used_b))
+        ha, hb = _rolling(a, n)[at_a], _rolling(b, n)[at_b]
+        order = np.argsort(ha, kind="stable")
+        lo, hi = np.searchsorted(ha[order], hb, "left"), np.searchsorted(ha[order], hb, "right")
+        matches = []
+        for x in np.flatnonzero(hi > lo).tolist():
+            d = int(at_b[x])
+            for i in at_a[order[lo[x] : hi[x]]].tolist():
+                if item[i : i + n] != doc[d : d + n]:
+                    continue
+                k = n
+                while i + k < len(item) and d + k < len(doc) and not used_a[i + k] and not used_b[d + k] and item[i + k] == doc[d + k]:
+                    k += 1
+                matches.append((k, i, d))
         for k, i, d in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if any(used_i[i : i + k]) or any(used_d[d : d + k]):
-                continue
-            used_i[i : i + k] = [True] * k
-            used_d[d : d + k] = [True] * k
-            found.append((i, d, k))
+            if not used_a[i : i + k].any() and not used_b[d : d + k].any():
+                used_a[i : i + k] = used_b[d : d + k] = True
+                found.append((i, d, k))
         n = n // 2 if n > 2 * least else n - 1
     return found
 
@@ -103,20 +104,26 @@ def _alike(a: str, b: str) -> bool:
 def passages(found: list[tuple[int, int, int]], item: list[str], doc: list[str]) -> list[tuple[int, int, int, int]]:
     """(item start, item end, doc start, doc end) of tiles joined across slips."""
     out: list[list[int]] = []
+    near: list[list[int]] = []  # passages that a later tile may still go on with
     for i, d, k in sorted(found, key=lambda t: (t[1], t[0])):
-        for p in reversed(out[-4:]):
+        near = [p for p in near if d - p[3] <= SLIP_WORDS]
+        for p in reversed(near):
             gi, gd = i - p[1], d - p[3]
-            if 0 <= gi <= SLIP_WORDS and 0 <= gd <= SLIP_WORDS and abs(gi - gd) <= 1 and _alike("".join(item[p[1] : i]), "".join(doc[p[3] : d])):
+            if 0 <= gi <= SLIP_WORDS and 0 <= gd and abs(gi - gd) <= 1 and _alike("".join(item[p[1] : i]), "".join(doc[p[3] : d])):
                 p[1], p[3] = i + k, d + k
                 break
         else:
-            out.append([i, i + k, d, d + k])
+            near.append([i, i + k, d, d + k])
+            out.append(near[-1])
     return [tuple(p) for p in out]
 
 
-def covered(found: list[tuple[int, int, int, int]]) -> int:
-    """Words of the item in its best passage, or in the best two that keep its order."""
-    long = sorted((p for p in found if p[1] - p[0] >= LEAST_PASSAGE), key=lambda p: p[2])
+def covered(found: list[tuple[int, int, int, int]], size: int) -> int:
+    """Words of the item of ``size`` words in its best passage, or in the best two that keep its order.
+
+    A passage counts from LEAST_PASSAGE words, in a shorter item from all of its words.
+    """
+    long = sorted((p for p in found if p[1] - p[0] >= min(LEAST_PASSAGE, size)), key=lambda p: p[2])
     best = max((p[1] - p[0] for p in long), default=0)
     for x, p in enumerate(long):
         for q in long[x + 1 :]:
@@ -125,14 +132,14 @@ def covered(found: list[tuple[int, int, int, int]]) -> int:
     return best
 
 
-def _gram_hashes(ids: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all seed grams of known words; 0 where a word is unknown."""
-    n = len(ids) - SEED_WORDS + 1
+def _gram_hashes(ids: np.ndarray, words: int = SEED_WORDS) -> np.ndarray:
+    """64-bit hashes of all grams of ``words`` known words; 0 where a word is unknown."""
+    n = len(ids) - words + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     known = np.ones(n, dtype=bool)
-    for k in range(SEED_WORDS):
+    for k in range(words):
         part = ids[k : k + n]
         known &= part >= 0
         h = h * np.uint64(0x9E3779B97F4A7C15) + (part + 1).astype(np.uint64)
@@ -156,41 +163,43 @@ class ItemIndex:
         self.ids: dict[str, int] = {}
         self.words: dict[int, list[str]] = {}
         self.codes: dict[int, list[int]] = {}
-        grams: dict[int, set[int]] = defaultdict(set)
+        grams: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for key, passage in items:
             w = words_of(passage)
             if not w:
                 continue
             self.words[key] = w
             self.codes[key] = [self.ids.setdefault(x, len(self.ids)) for x in w]
-            for h in _gram_hashes(np.array(self.codes[key], dtype=np.int64)).tolist():
-                grams[h].add(key)
-        self.grams = dict(grams)
-        self.sorted = np.array(sorted(self.grams), dtype=np.uint64)
+            size = min(SEED_WORDS, len(w))  # an item shorter than a seed is one seed
+            for h in _gram_hashes(np.array(self.codes[key], dtype=np.int64), size).tolist():
+                grams[size][h].add(key)
+        self.grams = {size: dict(g) for size, g in grams.items()}
+        self.sorted = {size: np.array(sorted(g), dtype=np.uint64) for size, g in grams.items()}
+
+    def _seeds(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(place, seed) of the seeds in a document by item."""
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for size, known in self.sorted.items():
+            h = _gram_hashes(codes, size)
+            if len(h):
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                for d, x in zip(at.tolist(), h[at].tolist(), strict=True):
+                    for key in self.grams[size][x]:
+                        places[key].append((d, x))
+        return places
 
     def leaks(self, text: str | None, share: float = LEAST_SHARE) -> list[tuple[int, float]]:
         """(item, share of its words) of the items that a text leaks."""
         w = words_of(text)
         codes = np.array([self.ids.get(x, -1) for x in w], dtype=np.int64)
-        h = _gram_hashes(codes)
-        if not len(h) or not len(self.sorted):
-            return []
-        place = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        hits = np.flatnonzero(self.sorted[place] == h)
-        if not len(hits):
-            return []
-        places: dict[int, list[int]] = defaultdict(list)
-        for d in hits.tolist():
-            for key in self.grams[int(h[d])]:
-                places[key].append(d)
         out = []
-        for key, at in places.items():
+        for key, at in self._seeds(codes).items():
             size = len(self.words[key])
-            # a leak with a slip every eight words still shares half as many grams as words
-            if len(set(h[at].tolist())) < share * size / 4:
+            # a leak with a slip every SLIP_EVERY words still shares this many seeds
+            if len({x for _, x in at}) < share * size * max(0, SLIP_EVERY - SEED_WORDS) / SLIP_EVERY / 2:
                 continue
-            near = _near(at, len(w), size)
-            c = covered(passages(tiles(self.codes[key], codes[near].tolist()), self.words[key], [w[d] for d in near]))
+            near = _near([d for d, _ in at], len(w), size)
+            c = covered(passages(tiles(self.codes[key], codes[near].tolist()), self.words[key], [w[d] for d in near]), size)
             if c >= share * size:
                 out.append((key, c / size))
         return out
