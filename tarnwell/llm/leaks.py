@@ -199,7 +199,7 @@ class ItemIndex:
             if len({x for _, x in at}) < share * size * max(0, SLIP_EVERY - SEED_WORDS) / SLIP_EVERY / 2:
                 continue
             near = _near([d for d, _ in at], len(w), size)
-            c = covered(passages(tiles(self.codes[key], codes[near].tolist()), self.words[key], [w[d] for d in near]), size)
+            c = covered(passages(tiles(self.codes[key], codes[near].tolist(), min(LEAST_TILE, size)), self.words[key], [w[d] for d in near]), size)
             if c >= share * size:
                 out.append((key, c / size))
         return out

@@ -53,6 +53,38 @@ def test_form_is_stable(text):
     assert forms.one_form(forms.one_form(text)) == forms.one_form(text)
 
 
+def test_short_items_leak_when_copied_whole():
+    ix = leaks.ItemIndex([(1, "aspirin eases sudden knee pain"), (2, "drink water"), (3, "gout")])
+    assert [k for k, _ in ix.leaks("They say: Aspirin eases, sudden knee-pain. Then rest.")] == [1]
+    assert {k for k, _ in ix.leaks("Gout patients should drink water")} == {2, 3}
+    assert ix.leaks("aspirin eases the knee and water is fine") == [] and ix.leaks(None) == [] and ix.leaks("") == []
+
+
+def test_tiles_equal_brute_force():
+    def brute(a, b, least):
+        free_a, free_b, out = [True] * len(a), [x >= 0 for x in b], []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for d in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and d + k < len(b) and free_a[i + k] and free_b[d + k] and a[i + k] == b[d + k]:
+                        k += 1
+                    best = max(best, (k, -i, -d))
+            if best[0] < least:
+                return sum(k for k, _, _ in out)
+            k, i, d = best[0], -best[1], -best[2]
+            free_a[i : i + k], free_b[d : d + k] = [False] * k, [False] * k
+            out.append(best)
+
+    rng = random.Random(2)
+    for _ in range(150):
+        a, b = ([rng.randint(-1 * t, 6) for _ in range(rng.randint(0, 14))] for t in (0, 1))
+        got = leaks.tiles(a, b)
+        assert sum(k for _, _, k in got) == brute(a, b, leaks.LEAST_TILE)
+        assert all(a[i : i + k] == b[d : d + k] for i, d, k in got)
+
+
 def test_pairs(spark):
     rows = [(1, "a b"), (2, "a  b"), (3, "a b"), (4, "c"), (4, "c"), (5, None), (6, " "), (7, "​"), (8, "а b"), (None, "a b ")]
     df = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, form binary")
