@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,9 +211,12 @@ def same_question(a: list[str], b: list[str], slips_a: dict[str, str], slips_b:
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A partition of the suffix array, in order → (train class, evaluation class, places and length of a span).
 
-    Suffixes with the same first words stand together, so any two of such a run share a span; its length is the
-    least common prefix of neighbours between them. How much of a pair the spans cover is asked of all together.
+    ``before`` is the word before a suffix, null at the start of a sequence or if not known. Suffixes with the same first words stand together, so any two of such a run share a span; its length is the
+    least common prefix of neighbours between them. Two suffixes after the same word go on with a longer span, which is
+    told where it begins; of a span over WINDOW words every next window is told too. How much of a pair the spans
+    cover is asked of all together.
     """
+    step = WINDOW - LEAST_WORDS
 
     def common(u, v):
         k = 0
@@ -223,29 +227,38 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return k
 
     def spans(run):
-        if not any(r[5] for r in run) or not any(r[6] for r in run):
+        _, cls, place, suffixes, _, train, held, before = zip(*run, strict=True)
+        train, held, place = np.array(train), np.array(held), np.array(place)
+        if not train.any() or not held.any():
             return
-        steps = [common(u[3], v[3]) for u, v in zip(run, run[1:], strict=False)]
-        for x, (_, cx, px, _, _, tx, ex) in enumerate(run):
-            lcp = WINDOW
-            for (_, cy, py, _, _, ty, ey), k in zip(run[x + 1 :], steps[x:], strict=True):
-                lcp = min(lcp, k)
-                if cx == cy:
-                    continue
-                if tx and ey:
-                    yield cx, cy, px, py, lcp
-                if ty and ex:
-                    yield cy, cx, py, px, lcp
+        name = np.unique(np.array(cls), return_inverse=True)[1]
+        left = np.unique(np.array([w or f"\0{i}" for i, w in enumerate(before)]), return_inverse=True)[1]
+        steps = np.array([common(u, v) for u, v in zip(suffixes, suffixes[1:], strict=False)])
+        for x in range(len(run) - 1):
+            y = slice(x + 1, len(run))
+            begins = (left[y] != left[x]) | (place[x] % step == 0) | (place[y] % step == 0)
+            told = begins & (name[y] != name[x]) & ((train[x] & held[y]) | (held[x] & train[y]))
+            if not told.any():
+                continue
+            lcp = np.minimum(np.minimum.accumulate(steps[x:]), WINDOW)
+            for z in np.flatnonzero(told).tolist():
+                o = x + 1 + z
+                if train[x] and held[o]:
+                    yield cls[x], cls[o], int(place[x]), int(place[o]), int(lcp[z])
+                if train[o] and held[x]:
+                    yield cls[o], cls[x], int(place[o]), int(place[x]), int(lcp[z])
 
     def all_spans():
         head, run = None, []
         for pdf in batches:
-            for row in zip(pdf["head"], pdf["cls"].tolist(), pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["size"].tolist(), pdf["train"].tolist(), pdf["held"].tolist(), strict=True):
+            for row in zip(pdf["head"], pdf["cls"], pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["size"].tolist(), pdf["train"].tolist(), pdf["held"].tolist(), pdf.get("before", [None] * len(pdf)), strict=True):
                 if row[0] != head:
-                    yield from spans(run)
+                    if len(run) > 1:
+                        yield from spans(run)
                     head, run = row[0], []
                 run.append(row)
-        yield from spans(run)
+        if len(run) > 1:
+            yield from spans(run)
 
     found = all_spans()
     while out := list(islice(found, SPAN_ROWS)):
@@ -302,14 +315,14 @@ def cross_split_pairs(records: DataFrame, id_col: str = "id", text_col: str = "q
     r = records.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), F.col(clean_col).alias("clean"), split_of(F.col(split_col)).alias("split"))
     taking = r.where("key is not null and split is not null and text is not null")
     canon = canonical(taking.select("key", "text"), r.where("clean is not null").select(F.col("clean").alias("text")))
-    members = canon.join(taking.select("key", (F.col("split") == "train").alias("is_train")), "key").withColumn("cls", F.xxhash64("words"))
+    members = canon.join(taking.select("key", (F.col("split") == "train").alias("is_train")), "key").withColumn("cls", F.md5(F.array_join("words", " ")))
     members = cut(members)
     classes = members.groupBy("cls").agg(F.first("words").alias("words"), F.first("slips").alias("slips"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("held"))
     suffixes = classes.where(F.size("words") >= LEAST_WORDS).select(
-        "cls", "train", "held", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.slice("words", i, WINDOW))).alias("place", "suffix")
-    )
+        "cls", "train", "held", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.struct(F.slice("words", i, WINDOW).alias("suffix"), F.when(i > 1, F.element_at("words", F.greatest(i - 1, F.lit(1)))).alias("before")))).alias("place", "x")
+    ).select("cls", "train", "held", "size", "place", "x.suffix", "x.before")
     array = suffixes.withColumn("head", F.array_join(F.slice("suffix", 1, LEAST_WORDS), " ")).repartition("head").sortWithinPartitions("head", "suffix", "cls", "place")
-    spans = array.select("head", "cls", "place", "suffix", "size", "train", "held").mapInPandas(_shared, "a long, b long, pa int, pb int, n int")
+    spans = array.select("head", "cls", "place", "suffix", "size", "train", "held", "before").mapInPandas(_shared, "a string, b string, pa int, pb int, n int")
     cover = spans.groupBy("a", "b").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pa"), F.col("pa") + F.col("n") - 1))))).alias("covered"))
 
     @F.pandas_udf("boolean")
