@@ -52,3 +52,51 @@ def recent(messages: DataFrame, n: int = 12, ttl_ms: int = 12 * 3600 * 1000) ->
 def first_seen(rows: DataFrame, key: str, ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
     """An exact cache on a stream: the first row of each key within ``ttl`` passes."""
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+
+
+def core_states(facts: DataFrame, ttl_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """The state of each session as its facts come: the last age, and allergies and conditions in order, each once.
+
+    ``facts(session_id, id, key, value)`` → session_id, age, allergies, conditions; a session silent for ``ttl_ms`` is forgotten.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        age, allergies, conditions = state.get if state.exists else (None, [], [])
+        lists = {"allergy": list(allergies), "condition": list(conditions)}
+        for pdf in batches:
+            for k, v in pdf.sort_values("id")[["key", "value"]].itertuples(index=False):
+                k, v = (k or "").strip().lower(), (v or "").strip()
+                if v and k == "age":
+                    age = v
+                elif v and k in lists and v not in lists[k]:
+                    lists[k].append(v)
+        state.update((age, lists["allergy"], lists["condition"]))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"session_id": [key[0]], "age": [age], "allergies": [lists["allergy"]], "conditions": [lists["condition"]]})
+
+    kinds = "age string, allergies array<string>, conditions array<string>"
+    return facts.groupBy("session_id").applyInPandasWithState(step, f"session_id string, {kinds}", kinds, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def to_table(rows: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends every micro-batch once to a parquet table; ``since`` reads it by cursor."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that is retried replaces itself
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def since(spark: SparkSession, path: str, cursor: int) -> DataFrame:
+    """The rows of the batches after ``cursor``, each with its batch: what a client that has read up to there is sent next."""
+    return spark.read.parquet(path).where(F.col("batch") > cursor)
+
+
+def ring(rows: DataFrame, group: str, n: int, *order) -> DataFrame:
+    """The last n rows of each group by ``order``, as a cache of n entries holds them."""
+    from tarnwell.operators.search import topk
+
+    return topk(rows, group, n, *order).drop("rank")
