@@ -26,7 +26,7 @@ def article_filter(s, d):
     return table(s, d, "documents").where(F.length(F.trim("text")) > 120).select("doc_id", F.length(F.trim("text")).cast("long").alias("chars"))
 
 
-@query(r"""with p as (select doc_id as id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '')[1:3] as parts from documents where text is not null)
+@query(r"""with p as (select doc_id as id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] as parts from documents where text is not null)
 select id, unnest(generate_series(1, len(parts))) as place, left(unnest(parts), 2000) as text from p""")
 def api_texts(s, d):
     return files.api_texts(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), 3).withColumn("place", F.col("place").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,7 +31,8 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where neither that setting nor an earlier
+    ``spark.checkpoint.dir`` names it on a cluster, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` has files
+    removed that no DataFrame uses any more. Only where neither that setting nor an earlier
     ``setCheckpointDir`` call gave one (local runs and tests) is a temporary folder set.
     """
     sc = spark.sparkContext
@@ -38,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tarnwell-ckpt-")
     sc.setCheckpointDir(configured)
