@@ -89,20 +89,48 @@ _LOWER_VALUE = re.compile(rf"^\s*((?!{_NO_PERSON}\b)[^\W\d_]{{2,}}(?:\s+[^\W\d_]
 _NUMBER_VALUE = re.compile(r"^\s*(\+?[\d(][\d\s().\-]{5,20}\d)\s*$")
 
 
-#: Strings of which a text in small letters holds one if the pattern can match; a cheap test before it.
+#: Strings of which a text in small letters, with single blanks, also at both ends, holds one if the pattern can match.
 _CUES = {
     ID_NUMBER: ("ssn", "social", "passp", "pasap", "reisep", "id", "licen", "insur", "polic", "member", "record", "mrn", "nhs", "health", "patient", "nino", "tax", "nie", "dni", "nummer", "num"),
-    ADDRESS: ("box", "postfach", "apartado", "boîte", *(x.lower() for x in _STREET.split("|")), "rue", "av", "bd", "chemin", "allée", "impasse", "calle", "plaza", "paseo", "camino", "via", "piazza", "weg", "stra", "str.", "gasse", "allee", "platz", "ring", "damm", "ufer", "chaussee"),
+    ADDRESS: ("box", "postfach", "apartado", "boîte", *(f" {x.lower()}" for x in _STREET.split("|")), "rue ", " av", " bd ", "chemin", "allée", "impasse", "quai ", "route ", "place ", "calle ", "avda.", "plaza ", "paseo ", "camino ", "via ", "viale ", "piazza ", "weg ", "straße ", "strasse ", "str. ", "gasse ", "allee ", "platz ", "ring ", "damm ", "ufer ", "chaussee "),
     ADDRESS_LOWER: ("street", "road", "lane", "avenue", "terrace", "drive", "close", "crescent", "boulevard", "weg", "strasse", "gasse", "allee", "platz"),
     CALLED: ("tel", "phone", "mobile", "cell", "fax", "call", "ring", "text", "whatsapp", "reach", "number is", "tél", "handy"),
     NAMES[0]: ("name", "called", "call me", "patient:", "contact:", "client:", "ich hei", "llamo", "nombre", "appelle", "nom est"),
-    NAMES[1]: ("mr", "ms ", "ms.", "ms\t", "ms\n", "miss", "mx", "herr", "frau", "señor", "sra", "sr", "mme", "monsieur", "madame"),
+    NAMES[1]: ("mr", "ms ", "ms.", "miss", "mx", "herr", "frau", "señor", "sra", "sr", "mme", "monsieur", "madame"),
     NAMES[2]: ("regards", "signed", "sincerely", "yours", "best", "cheers", "thank", "dear", "hello", "hi", "hey", "greetings", "from", "cc", "attn"),
     NAMES[3]: ("regards", "signed", "sincerely", "yours", "best wishes", "dear", "hello", "hi", "thank you"),
     NAMES[4]: ("my ", "our ", "his ", "her ", "their "),
     NAMES[5]: ("this is", "i am", "i'm", "i’m", "it is", "speaking is", "belongs to", "on behalf of", "ask for", "care of"),
     NAMES[6]: ("here", "speaking", "writing", "calling"),
 }
+
+
+@lru_cache(maxsize=1)
+def _cue_finder():
+    """What tells the patterns whose cues a text holds: their bits, in the order of _CUES."""
+    bits: dict[str, int] = {}
+    for n, cues in enumerate(_CUES.values()):
+        for c in cues:
+            bits[c] = bits.get(c, 0) | 1 << n
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda low: sum(1 << n for n, cues in enumerate(_CUES.values()) if any(c in low for c in cues))
+    machine = ahocorasick.Automaton()
+    for c, b in bits.items():
+        machine.add_word(c, b)
+    machine.make_automaton()
+
+    def found(low: str) -> int:
+        mask = 0
+        for _, b in machine.iter(low):
+            mask |= b
+        return mask
+
+    return found
+
+
+_BIT = {rx: 1 << n for n, rx in enumerate(_CUES)}
 _DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d.*\d.*\d", re.S)
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]")
 _SPOKEN_AT = re.compile(r"(?i)[(\[{<]at[)\]}>]| dot ")
@@ -118,7 +146,7 @@ def find_entities(text: str | None, key: str | None = None) -> list[tuple[int, i
     digit, capital = _DIGIT.search(text) is not None, _CAPITAL.search(text) is not None
     if not (key or digit or capital or "@" in text or "＠" in text or " at " in text or " dot " in text):
         return []
-    low, found = text.lower(), []
+    cues, found = _cue_finder()(f" {' '.join(text.lower().split())} "), []
 
     def add(start: int, end: int, kind: str) -> None:
         while end > start and text[end - 1] in " \t\n.,;:":
@@ -127,7 +155,7 @@ def find_entities(text: str | None, key: str | None = None) -> list[tuple[int, i
             found.append((start, end, kind))
 
     def matches(rx: re.Pattern):
-        return rx.finditer(text) if any(c in low for c in _CUES[rx]) else ()
+        return rx.finditer(text) if cues & _BIT[rx] else ()
 
     def long(number: str, least: int) -> bool:
         return least <= sum(c.isdigit() for c in number) <= 15
