@@ -63,6 +63,7 @@ LEAST_WORDS = 3  # words of the shortest span of the suffix array
 LEAST_SPAN = 0.4  # of the shorter sequence's words, by all shared spans together
 FEW, MANY, MOST = 3, 16, 32  # words without slips: keys of one word up to FEW and above MANY, keys of two words up to MOST
 SPAN_ROWS = 100_000  # spans that leave a task at once
+RUN = 2_000  # suffixes of one head that a task compares; longer runs are compared in blocks, two at a time
 WINDOW = 16  # words of a suffix that are compared; longer spans are merged from overlapping windows
 
 
@@ -214,7 +215,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ``before`` is the word before a suffix, null at the start of a sequence or if not known. Suffixes with the same first words stand together, so any two of such a run share a span; its length is the
     least common prefix of neighbours between them. Two suffixes after the same word go on with a longer span, which is
     told where it begins; of a span over WINDOW words every next window is told too. How much of a pair the spans
-    cover is asked of all together.
+    cover is asked of all together. Of a run of two blocks only pairs across them are told.
     """
     step = WINDOW - LEAST_WORDS
 
@@ -227,7 +228,8 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return k
 
     def spans(run):
-        _, cls, place, suffixes, _, train, held, before = zip(*run, strict=True)
+        heads, cls, place, suffixes, train, held, before, block = zip(*run, strict=True)
+        across, block = heads[0][1] != heads[0][2], np.array(block)
         train, held, place = np.array(train), np.array(held), np.array(place)
         if not train.any() or not held.any():
             return
@@ -238,6 +240,8 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             y = slice(x + 1, len(run))
             begins = (left[y] != left[x]) | (place[x] % step == 0) | (place[y] % step == 0)
             told = begins & (name[y] != name[x]) & ((train[x] & held[y]) | (held[x] & train[y]))
+            if across:
+                told &= block[y] != block[x]
             if not told.any():
                 continue
             lcp = np.minimum(np.minimum.accumulate(steps[x:]), WINDOW)
@@ -251,7 +255,9 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def all_spans():
         head, run = None, []
         for pdf in batches:
-            for row in zip(pdf["head"], pdf["cls"], pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["size"].tolist(), pdf["train"].tolist(), pdf["held"].tolist(), pdf.get("before", [None] * len(pdf)), strict=True):
+            none = [0] * len(pdf)
+            heads = zip(pdf["head"], pdf.get("low", none), pdf.get("high", none), strict=True)
+            for row in zip(heads, pdf["cls"], pdf["place"].tolist(), map(list, pdf["suffix"]), pdf["train"].tolist(), pdf["held"].tolist(), pdf.get("before", [None] * len(pdf)), pdf.get("block", none), strict=True):
                 if row[0] != head:
                     if len(run) > 1:
                         yield from spans(run)
@@ -321,8 +327,13 @@ def cross_split_pairs(records: DataFrame, id_col: str = "id", text_col: str = "q
     suffixes = classes.where(F.size("words") >= LEAST_WORDS).select(
         "cls", "train", "held", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.struct(F.slice("words", i, WINDOW).alias("suffix"), F.when(i > 1, F.element_at("words", F.greatest(i - 1, F.lit(1)))).alias("before")))).alias("place", "x")
     ).select("cls", "train", "held", "size", "place", "x.suffix", "x.before")
-    array = suffixes.withColumn("head", F.array_join(F.slice("suffix", 1, LEAST_WORDS), " ")).repartition("head").sortWithinPartitions("head", "suffix", "cls", "place")
-    spans = array.select("head", "cls", "place", "suffix", "size", "train", "held", "before").mapInPandas(_shared, "a string, b string, pa int, pb int, n int")
+    headed = suffixes.withColumn("head", F.array_join(F.slice("suffix", 1, LEAST_WORDS), " "))
+    # a head with more suffixes than RUN is cut into blocks by class, and every two blocks are a run of their own
+    hot = headed.groupBy("head").agg(F.ceil(F.count("*") / RUN).cast("int").alias("blocks")).where("blocks > 1")
+    placed = headed.join(hot, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    array = paired.repartition("head", "low", "high").sortWithinPartitions("head", "low", "high", "suffix", "cls", "place")
+    spans = array.select("head", "low", "high", "block", "cls", "place", "suffix", "train", "held", "before").mapInPandas(_shared, "a string, b string, pa int, pb int, n int")
     cover = spans.groupBy("a", "b").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pa"), F.col("pa") + F.col("n") - 1))))).alias("covered"))
 
     @F.pandas_udf("boolean")

@@ -63,3 +63,12 @@ def test_span_of_records_of_unequal_size_is_found_in_either_order():
         words = [["a", "b", "c", "x"], ["a", "b", "c", "y"]]
         pdf = pd.DataFrame({"head": ["a b c"] * 2, "cls": [1, 2], "place": [0, 0], "suffix": words, "size": sizes, "train": [True, False], "held": [False, True]})
         assert [tuple(r) for d in overlap._shared(iter([pdf])) for r in d.itertuples(index=False)] == [(1, 2, 0, 0, 3)]
+
+
+def test_long_runs_in_blocks_find_the_same_pairs(spark, monkeypatch):
+    rows = [(f"{'te'[i % 2]}{i:03d}", f"Can the new tablets {w} cause itching at age {40 + i // 2}?", "x", ("train", "test")[i % 2]) for i, w in enumerate(["zorvex", "zorvex", "balmex", "balmex"] * 20)]
+    rows += [(f"d{i}", f"Can the new tablets zorvex cause itching at age {40 + i}?", "x", "dev") for i in range(6)]
+    df = spark.createDataFrame(rows, "id string, question string, ground_truth string, split string")
+    whole = sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect())
+    monkeypatch.setattr(overlap, "RUN", 7)
+    assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == whole and len(whole) >= 40
