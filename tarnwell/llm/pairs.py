@@ -234,7 +234,7 @@ def _heads(sentence: list[str]) -> list[str]:
     return ["^ " + " ".join(sentence[:n]) for n in range(2, min(HEAD, len(sentence)) + 1)]
 
 
-BASE = "src string, rec_id string, defect string, said long, pair long, head string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, open boolean, brief boolean"
+BASE = "src string, rec_id string, defect string, pair long, head string, seen array<struct<context:string,ends:int>>, last array<string>, before array<string>, open boolean, brief boolean"
 
 
 def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for src, rid, q, a, blocked, said, pair in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], pdf["said"].tolist(), pdf["pair"].tolist(), strict=True):
+            for src, rid, q, a, blocked, first, pair in zip(pdf["src"], pdf["rec_id"], pdf["question"], pdf["answer"], pdf["blocked"], pdf["first"].tolist(), pdf["pair"].tolist(), strict=True):
                 q, a = (x if isinstance(x, str) else None for x in (q, a))
                 defect, head, seen, last, before, opened, brief = None, None, [], [], [], False, False
                 if is_empty(a):
@@ -268,16 +268,18 @@ def defects(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                     head = (_heads(tokens) or [None])[-1] if brief else None
                 if defect is not None:
                     last, before = [], []
-                rows.append((src, rid, defect, said, pair, head, seen, last, before, opened and defect is None, brief))
-            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "said", "pair", "head", "seen", "last", "before", "open", "brief"])
+                if not first:
+                    seen = []
+                rows.append((src, rid, defect, pair, head, seen, last, before, opened and defect is None, brief))
+            yield pd.DataFrame(rows, columns=["src", "rec_id", "defect", "pair", "head", "seen", "last", "before", "open", "brief"])
 
-    said = F.xxhash64(F.lower(F.trim("answer"))).alias("said")
-    pair = F.xxhash64(F.lower(F.trim("question")), F.lower(F.trim("answer"))).alias("pair")
-    base = cut(pairs.select("src", "rec_id", "question", "answer", "blocked", said, pair).mapInPandas(run, BASE))
-    key = ["src", "rec_id"]
     # one row stands for all rows that answer the same; only keys are grouped, with a partial aggregation before the shuffle
-    once = base.where(F.size("seen") > 0).groupBy("said").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
-    counts = cut(base.select(*key, "seen").join(once, key, "left_semi").select(F.explode("seen").alias("x")).groupBy("x.context").agg(F.count("*").alias("n"), F.sum("x.ends").alias("e")))
+    key = ["src", "rec_id"]
+    once = pairs.groupBy(F.xxhash64(F.lower(F.trim("answer")))).agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.lit(True).alias("first"))
+    pair = F.xxhash64(F.lower(F.trim("question")), F.lower(F.trim("answer"))).alias("pair")
+    flagged = pairs.select(*key, "question", "answer", "blocked", pair).join(once, key, "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    base = cut(flagged.mapInPandas(run, BASE))
+    counts = cut(base.select(F.explode("seen").alias("x")).groupBy("x.context").agg(F.count("*").alias("n"), F.sum("x.ends").alias("e")))
     single = ~F.col("context").contains(" ")
     anywhere = counts.where(single).agg((F.coalesce(F.sum("e"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("p0"))
 
