@@ -254,11 +254,12 @@ def links_per_text(texts: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataF
 
 def match_score(left: Column, right: Column) -> Column:
     """1 if one text, without case and marks, holds the other; else the greatest of recall, precision and Jaccard of the words."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
     a, b = norm(left), norm(right)
-    wa, wb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    wa, wb = (F.array_distinct(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1)) for c in (a, b))
     both = F.size(F.array_intersect(wa, wb))
-    return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(F.greatest(both / F.size(wb), both / F.size(wa), both / F.size(F.array_union(wa, wb))))
+    part = F.when(both > 0, F.greatest(both / F.size(wb), both / F.size(wa), both / F.size(F.array_union(wa, wb)))).otherwise(0.0)
+    return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(part)
 
 
 def best_context_match(contexts: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:

@@ -103,6 +103,7 @@ def test_replies_of_judges(spark):
 def test_match_score(spark):
     s = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(evaluate.match_score(F.col("a"), F.col("b")).alias("x")).first().x
     assert s("Take 5 mg, daily!", "5 MG daily") == 1.0 and s(None, "a") == 0.0 and s("!", "a") == 0.0 and s("a b c d", "b a x") == pytest.approx(2 / 3)
+    assert s("¡Dolor de estómago!", "estómago") == 1.0 and s("боль", "гриппe") == 0.0 and s("été", "ete x") == 0.0
 
 
 def test_budgets_and_blocks(spark):

@@ -46,9 +46,9 @@ def test_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(SQL)))
 def test_without_sql_gives_rows(spark, name):
     """Their operators are compared with brute force elsewhere; here the whole query runs and has distinct columns."""
-    df = registry.QUERIES[name](spark, D)
-    # the smallest tables have no question whose number the query set of a search asks for
-    assert (df.count() > 0 or name == "bm25_rerank") and len(set(df.columns)) == len(df.columns)
+    few = name in ("bm25_rerank", "context_best_match")  # the smallest tables rightly give none
+    df = registry.QUERIES[name](spark, D.replace("0.001", "0.01") if few else D)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry(spark):
