@@ -2,8 +2,8 @@
 
 Questions are brought to a canonical word sequence: one character form, abbreviations and number words spelled
 out, slips corrected by the corpus's own vocabulary, synonyms mapped to one word, greetings and function words
-removed. A suffix array over the concatenated sequences, partitioned by the first words of a suffix, shows spans
-that records of both sides share; the spans are merged into the coverage of each pair of records, and a pair
+removed. A suffix array over the concatenated sequences, partitioned by the first words of a suffix and the numbers of
+its sequence (questions with other numbers never hold as the same), shows spans that records of both sides share; the spans are merged into the coverage of each pair of records, and a pair
 holds if nothing outside the coverage makes a difference: no number and no known word, only slips.
 
 Equal sequences are one class from the start, so that copies are compared once.
@@ -144,11 +144,13 @@ def vocabulary(words: DataFrame, clean: DataFrame) -> DataFrame:
     """word, fixed, known of each word of ``words(word)``.
 
     fixed is the word it is a slip of, or itself; known tells that it is a word of its own. ``clean(word)`` holds
-    words of texts without slips; what is about as frequent there is never corrected. Counts cover all rows.
+    words of texts without slips; what is about as frequent there is never corrected. Counts cover all rows. Sizes
+    estimated from the files know nothing of the words a text explodes into, so its joins are merge joins: by estimate
+    Spark would send one side, which grows with the corpus, through the driver.
     """
     counts = (
         words.groupBy("word").agg(F.count("*").alias("n"))
-        .join(clean.groupBy("word").agg(F.count("*").alias("c")), "word", "left")
+        .join(clean.groupBy("word").agg(F.count("*").alias("c")).hint("merge"), "word", "left")
         .select("word", "n", F.coalesce("c", F.lit(0)).alias("c"))
         .withColumn("sure", (F.col("c") >= 2) & (2 * F.col("c") >= F.col("n")))
     )
@@ -156,11 +158,11 @@ def vocabulary(words: DataFrame, clean: DataFrame) -> DataFrame:
     slips = counts.where(~F.col("sure") & (F.length("word") >= 3) & ~F.col("word").rlike(r"\d")).select("word", "n", F.explode(_shortened(F.col("word"))).alias("key"))
     good = counts.where((F.col("n") >= COMMON) & (F.length("word") >= 3) & ~F.col("word").rlike(r"\d")).select(F.col("word").alias("fixed"), F.col("n").alias("m"), F.explode(_shortened(F.col("word"))).alias("key"))
     found = (
-        slips.join(good, "key").where((F.col("word") != F.col("fixed")) & (F.col("m") >= RATIO * F.col("n")) & _damaged(F.col("word"), F.col("fixed")))
+        slips.join(good.hint("merge"), "key").where((F.col("word") != F.col("fixed")) & (F.col("m") >= RATIO * F.col("n")) & _damaged(F.col("word"), F.col("fixed")))
         .groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
     )
     known = F.col("sure") | (F.col("n") >= COMMON)
-    return counts.join(found, "word", "left").select("word", F.coalesce("fixed", "word").alias("fixed"), (known | F.col("fixed").isNotNull()).alias("known"))
+    return counts.join(found.hint("merge"), "word", "left").select("word", F.coalesce("fixed", "word").alias("fixed"), (known | F.col("fixed").isNotNull()).alias("known"))
 
 
 def canonical(questions: DataFrame, clean_texts: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def canonical(questions: DataFrame, clean_texts: DataFrame) -> DataFrame:
     """
     tokens = cut(questions.select("key", F.posexplode(_respelled("text")).alias("pos", "word")))
     vocab = vocabulary(tokens.select("word"), clean_texts.select(F.explode(_plain("text")).alias("word")))
-    fixed = tokens.join(vocab, "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "fixed", "known"))).alias("t"))
+    fixed = tokens.join(vocab.hint("merge"), "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "fixed", "known"))).alias("t"))
     slips = F.array_distinct(F.transform(F.filter("t", lambda x: ~x["known"] | (x["word"] != x["fixed"])), lambda x: F.struct(x["word"].alias("raw"), x["fixed"].alias("fixed"))))
     return fixed.select("key", _settled(F.transform("t", lambda x: x["fixed"])).alias("words"), slips.alias("slips")).where(F.size("words") > 0)
 
@@ -279,7 +281,7 @@ def _apart(classes: DataFrame) -> DataFrame:
     of each, which a join of such pairs of words finds; with one shared word it is among the first 1 + slips. Mismatches
     at d places leave spans of 2 words or less only in sequences of at most 3 d + 2 words.
     """
-    c = classes.select("cls", "train", "held", F.size("words").alias("size"), F.size("slips").alias("u"), F.array_except("words", F.transform("slips", lambda x: x["fixed"])).alias("clean"))
+    c = classes.select("cls", "train", "held", "numbers", F.size("words").alias("size"), F.size("slips").alias("u"), F.array_except("words", F.transform("slips", lambda x: x["fixed"])).alias("clean"))
     w = c.select("cls", F.explode("clean").alias("word"))
     rank = w.join(w.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("cls").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("r"))
     most = c.agg(F.coalesce(F.max("u"), F.lit(0)).alias("most"))
@@ -287,10 +289,10 @@ def _apart(classes: DataFrame) -> DataFrame:
         "ones": F.expr(f"if(size(r) <= {FEW} or size(r) > {MANY}, transform(slice(r, 1, 1 + most), (x, i) -> struct(x as key, 1 as m, i + 1 as at)), array())"),
         "twos": F.expr(f"if(size(r) between 2 and {MOST}, flatten(transform(slice(r, 2, 1 + most), (y, j) -> transform(slice(r, 1, j + 1), x -> struct(concat(x, ' ', y) as key, 2 as m, j + 2 as at)))), array())"),
     })
-    keys = keys.select("cls", "train", "held", "size", "u", F.explode(F.concat("ones", "twos")).alias("k")).select("cls", "train", "held", "size", "u", "k.*")
-    a, b = (keys.where(side).select("key", "m", *(F.col(x).alias(x + y) for x in ("cls", "size", "u", "at"))) for side, y in (("train", "_a"), ("held", "_b")))
+    keys = keys.select("cls", "train", "held", "numbers", "size", "u", F.explode(F.concat("ones", "twos")).alias("k")).select("cls", "train", "held", "numbers", "size", "u", "k.*")
+    a, b = (keys.where(side).select("key", "m", "numbers", *(F.col(x).alias(x + y) for x in ("cls", "size", "u", "at"))) for side, y in (("train", "_a"), ("held", "_b")))
     may = "cls_a <> cls_b and u_a + u_b > 0 and at_a <= m + u_b and at_b <= m + u_a and least(size_a, size_b) <= 3 * (u_a + u_b) + 2"
-    return a.join(b, ["key", "m"]).where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    return a.join(b, ["key", "m", "numbers"]).where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
 def in_order(a: list[str], b: list[str]) -> bool:
@@ -321,13 +323,15 @@ def cross_split_pairs(records: DataFrame, id_col: str = "id", text_col: str = "q
     r = records.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), F.col(clean_col).alias("clean"), split_of(F.col(split_col)).alias("split"))
     taking = r.where("key is not null and split is not null and text is not null")
     canon = canonical(taking.select("key", "text"), r.where("clean is not null").select(F.col("clean").alias("text")))
-    members = canon.join(taking.select("key", (F.col("split") == "train").alias("is_train")), "key").withColumn("cls", F.md5(F.array_join("words", " ")))
+    members = canon.join(taking.select("key", (F.col("split") == "train").alias("is_train")).hint("merge"), "key").withColumn("cls", F.md5(F.array_join("words", " ")))
     members = cut(members)
     classes = members.groupBy("cls").agg(F.first("words").alias("words"), F.first("slips").alias("slips"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("held"))
+    # same_question excuses no number, so all are equal in a pair that holds
+    classes = classes.withColumn("numbers", F.array_join(F.array_sort(F.filter("words", lambda w: w.rlike("^[0-9]+$"))), " "))
     suffixes = classes.where(F.size("words") >= LEAST_WORDS).select(
-        "cls", "train", "held", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.struct(F.slice("words", i, WINDOW).alias("suffix"), F.when(i > 1, F.element_at("words", F.greatest(i - 1, F.lit(1)))).alias("before")))).alias("place", "x")
-    ).select("cls", "train", "held", "size", "place", "x.suffix", "x.before")
-    headed = suffixes.withColumn("head", F.array_join(F.slice("suffix", 1, LEAST_WORDS), " "))
+        "cls", "train", "held", "numbers", F.size("words").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - LEAST_WORDS + 1), lambda i: F.struct(F.slice("words", i, WINDOW).alias("suffix"), F.when(i > 1, F.element_at("words", F.greatest(i - 1, F.lit(1)))).alias("before")))).alias("place", "x")
+    ).select("cls", "train", "held", "numbers", "size", "place", "x.suffix", "x.before")
+    headed = suffixes.withColumn("head", F.concat_ws(" | ", "numbers", F.array_join(F.slice("suffix", 1, LEAST_WORDS), " ")))
     # a head with more suffixes than RUN is cut into blocks by class, and every two blocks are a run of their own
     hot = headed.groupBy("head").agg(F.ceil(F.count("*") / RUN).cast("int").alias("blocks")).where("blocks > 1")
     placed = headed.join(hot, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

@@ -72,3 +72,34 @@ def test_long_runs_in_blocks_find_the_same_pairs(spark, monkeypatch):
     whole = sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect())
     monkeypatch.setattr(overlap, "RUN", 7)
     assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == whole and len(whole) >= 40
+
+
+def test_no_table_of_words_is_broadcast_by_estimate(spark, tmp_path, monkeypatch):
+    rows = [(f"r{i}", f"can tablet{i % 7} cause itching at age {i % 50} {'so ' * 50}?", "tablets cause itching", "train", ("human_seed",), "x", "y") for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "t.parquet"))
+    plans, cut = [], overlap.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(overlap, "cut", seen)
+    plans.append(overlap.cross_split_pairs(spark.read.parquet(str(tmp_path / "t.parquet")))._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) == 4 and sum(p.count("SortMergeJoin") for p in plans) >= 5
+    # of one row only: the most slips of a question
+    assert all("BroadcastHashJoin" not in p for p in plans)
+
+
+def test_spans_and_rare_words_are_compared_only_between_equal_numbers(spark, monkeypatch):
+    rows = [(f"{'te'[i % 2]}{i}", f"nausea fever cramps itching rash at age {50 + i // 2 % 5}", "nausea fever cramps itching rash", ("train", "dev")[i % 2]) for i in range(20)]
+    rows += [("t90", "nausea fever cramps itching rash 51 52", None, "train"), ("e90", "nausea fever cramps 52 itching rash 51", None, "test"), ("e91", "nausea fever cramps 52 itching rash 52", None, "test")]
+    compared, same = spark.sparkContext.accumulator(0), overlap.same_question
+
+    def counted(a, b, *slips):
+        compared.add(1)
+        return same(a, b, *slips)
+
+    monkeypatch.setattr(overlap, "same_question", counted)
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "id string, question string, ground_truth string, split string")).collect()}
+    assert got == {tuple(sorted((f"t{2 * i}", f"e{2 * j + 1}"))) for i in range(10) for j in range(10) if i % 5 == j % 5} | {("e90", "t90")}
+    assert compared.value == 1
