@@ -91,6 +91,7 @@ def without_copies(rows: DataFrame, content: bool = True) -> DataFrame:
     text = F.first("content").alias("content") if content else F.lit(None).cast("string").alias("content")
     slices = (
         rows.withColumns({"h1": F.xxhash64("content"), "h2": F.xxhash64(F.lit(7), "content"), "slice": F.floor(F.col("at") / step)})
+        .repartition(*key)  # serves slices and islands, so that contents move once
         .groupBy(*key, "slice")
         .agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("times"), F.first("kind").alias("kind"), text)
     )
@@ -173,6 +174,12 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LINK_SCHEMA.split(", ")])
 
 
+def _linked_bare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_linked`` without the texts."""
+    for pdf in _linked(batches):
+        yield pdf.assign(content=None)
+
+
 def _turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of (session, bucket) in order of time → one row a bucket: the summary of its turns."""
     names = [c.split()[0] for c in TURNS_SCHEMA.split(", ")]
@@ -212,15 +219,18 @@ def turn_buckets(messages: DataFrame) -> DataFrame:
     return flat.repartition("session_id", "bucket").sortWithinPartitions("session_id", "bucket", "at", "id").mapInPandas(_turns, TURNS_SCHEMA)
 
 
-def linked_messages(messages: DataFrame) -> DataFrame:
-    """One row for each kept message with its reply link; a message near the end of its bucket is context for the next."""
+def linked_messages(messages: DataFrame, content: bool = True) -> DataFrame:
+    """One row for each kept message with its reply link; a message near the end of its bucket is context for the next.
+
+    With ``content`` false the scan reads the texts for its scores and gives null for them.
+    """
     span = BUCKET_S * 1_000_000
     late = F.col("at") - F.col("bucket") * span >= span - REACH_S * 1_000_000
     place = lambda b, context: F.struct(b.alias("bucket"), F.lit(context).alias("context"))
     here, next_too = place(F.col("bucket"), False), place(F.col("bucket") + 1, True)
     placed = _placed(messages, content=True).withColumn("place", F.explode(F.when(late, F.array(here, next_too)).otherwise(F.array(here))))
     flat = placed.select("session_id", "place.bucket", "id", "at", "speaker", "kind", "content", "place.context")
-    return flat.repartition("session_id", "bucket").sortWithinPartitions("session_id", "bucket", "at", "id").mapInPandas(_linked, LINK_SCHEMA)
+    return flat.repartition("session_id", "bucket").sortWithinPartitions("session_id", "bucket", "at", "id").mapInPandas(_linked if content else _linked_bare, LINK_SCHEMA)
 
 
 def turns_of(linked: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from tarnwell.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.session_verdicts(table(spark, d, "messages")).where("reason is not null").select("session_id")
+    messages = table(spark, d, "messages")
+    turns = conversations.turns_of(conversations.linked_messages(messages, content=False))
+    return conversations.session_verdicts(messages, turns).where("reason is not null").select("session_id")
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:

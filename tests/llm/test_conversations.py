@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 from tarnwell.llm import conversations as c
+from tarnwell.llm import queries
 
 SCHEMA = "id long, session_id string, role string, content string, source string, created_at timestamp, bucket string, turn int"
 
@@ -103,3 +104,19 @@ def test_links_reach_over_many_messages_and_buckets(spark):
     want = brute_links(rows)
     assert want[23][0] == 0 and sum(p is not None and i - p > 8 for i, (p, _) in want.items()) > 9
     assert got == want
+
+
+def test_p1_found_goes_by_the_linked_messages(spark, tmp_path, monkeypatch):
+    rows = [("sound", "user", "aspirin dosage?", 0), ("sound", "assistant", "low", 5), ("open", "user", "aspirin?", 0), ("open", "assistant", "yes", 5), ("open", "user", "why?", 9), ("lone", "tool", "x", 1)]
+    table(spark, rows).write.parquet(str(tmp_path / "messages.parquet"))
+    linked, seen = c.linked_messages, []
+
+    def kept(messages, **options):
+        seen.append(linked(messages, **options))
+        return seen[-1]
+
+    monkeypatch.setattr(c, "linked_messages", kept)
+    assert {r.session_id for r in queries.p1_found(spark, str(tmp_path)).collect()} == {"open", "lone"}
+    assert [(r.parent_id, r.tree_id, r.content) for r in seen[0].orderBy("id").collect()] == [(None, 0, None), (0, 0, None), (None, 2, None), (2, 2, None), (3, 2, None)]
+    monkeypatch.setattr(c, "linked_messages", lambda messages, **options: linked(messages, **options).where("session_id <> 'sound'"))
+    assert {r.session_id for r in queries.p1_found(spark, str(tmp_path)).collect()} == {"open", "lone", "sound"}
